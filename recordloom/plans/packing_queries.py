@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.operators import packed, rejects
+from recordloom.operators import drift, packed, rejects
 from recordloom.runtime import table
 
 
@@ -25,5 +25,10 @@ def p2_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects.sound(table(spark, sf_dir, "invalid_data"), "row_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_sound": p2_sound}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of the payload fields of each file against the file before it."""
+    return drift.changes(table(spark, sf_dir, "student_files"))
+
+
+QUERIES = {"p7_found": p7_found, "p1_found": p1_found, "p2_found": p2_found, "p2_sound": p2_sound}
 ORACLE: dict[str, str] = {}
