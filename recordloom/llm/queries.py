@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.cells import emails_of, profile_key
-from recordloom.llm import components, lookalike, survivor
+from recordloom.llm import canon, components, linkage, lookalike, survivor
 from recordloom.runtime import table
 
 
@@ -15,6 +15,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.survivors(table(spark, sf_dir, "result_with_pdfs"), survivor.trust_table(table(spark, sf_dir, "source_trust")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a candidates row and a student row of one person."""
+    return p4_confidence(spark, sf_dir).select("ext_id_a", "ext_id_b")
+
+
+def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with the model's confidence."""
+    same = linkage.same_skills(table(spark, sf_dir, "canon_values"))
+    a = linkage.person(table(spark, sf_dir, "candidates"), "ext_id", "name", "email", "phone", "linkedin", "current_company", "title", "location", "skills", same)
+    b = linkage.person(table(spark, sf_dir, "student1_english"), "ext_id", "name", "email", "phone", "linkedin", "company", "title", "location", "skills", same)
+    return linkage.link(a, b).select(F.col("a").alias("ext_id_a"), F.col("b").alias("ext_id_b"), F.round("confidence", 6).alias("confidence"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of the canonical list that each typed value means, 0 where none is meant."""
+    people, merged, entries = table(spark, sf_dir, "student1_english"), table(spark, sf_dir, "result_with_pdfs"), table(spark, sf_dir, "canon_values")
+    values = canon.typed_values(people, "student1_english", "ext_id", "skills", "skill", F.split("skills", ","))
+    for field in ("title", "location"):
+        values = values.unionByName(canon.typed_values(people, "student1_english", "ext_id", field, field, F.array(field)))
+    values = values.unionByName(canon.typed_values(merged, "result_with_pdfs", "result_id", "skills.name", "skill", F.col("skills.name")))
+    return canon.match(canon.unlabelled(values, entries), entries).select("src_table", "row_id", "field_name", "pos", "canon_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every record that decided pairs or shared mailboxes and profiles link to another."""
     pairs = table(spark, sf_dir, "match_pairs").where("decision = 'match'")
@@ -38,5 +61,5 @@ def p10_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.uniform(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p10_found": p10_found, "p10_uniform": p10_uniform}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found, "p10_found": p10_found, "p10_uniform": p10_uniform}
 ORACLE: dict[str, str] = {}
