@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.cells import emails_of, profile_key
-from recordloom.llm import canon, components, leakage, linkage, lookalike, survivor
+from recordloom.llm import canon, components, leakage, linkage, lookalike, pack, survivor
 from recordloom.runtime import table
 
 
@@ -51,6 +51,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two)
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container and a place in it for every document, 2,048 tokens to a container."""
+    return pack.pack(table(spark, sf_dir, "documents"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the test items that leaked into them."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -71,5 +76,5 @@ def p10_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.uniform(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found, "p9_found": p9_found, "p9_clean": p9_clean, "p10_found": p10_found, "p10_uniform": p10_uniform}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_clean": p9_clean, "p10_found": p10_found, "p10_uniform": p10_uniform}
 ORACLE: dict[str, str] = {}
