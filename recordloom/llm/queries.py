@@ -23,9 +23,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs with the model's confidence."""
     same = linkage.same_skills(table(spark, sf_dir, "canon_values"))
-    a = linkage.person(table(spark, sf_dir, "candidates"), "ext_id", "name", "email", "phone", "linkedin", "current_company", "title", "location", "skills", same)
-    b = linkage.person(table(spark, sf_dir, "student1_english"), "ext_id", "name", "email", "phone", "linkedin", "company", "title", "location", "skills", same)
-    return linkage.link(a, b).select(F.col("a").alias("ext_id_a"), F.col("b").alias("ext_id_b"), F.round("confidence", 6).alias("confidence"))
+    a = linkage.raw(table(spark, sf_dir, "candidates"), "ext_id", "name", "email", "phone", "linkedin", "current_company", "title", "location", "skills")
+    b = linkage.raw(table(spark, sf_dir, "student1_english"), "ext_id", "name", "email", "phone", "linkedin", "company", "title", "location", "skills")
+    return linkage.link(a, b, same).select(F.col("a").alias("ext_id_a"), F.col("b").alias("ext_id_b"), F.round("confidence", 6).alias("confidence"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
