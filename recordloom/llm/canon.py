@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,8 +81,36 @@ def distance(a: str, b: str, most: int) -> int:
     return d[la + 1][lb + 1]
 
 
+def _masks(form: str) -> dict[str, int]:
+    masks: dict[str, int] = {}
+    for k, c in enumerate(form):
+        masks[c] = masks.get(c, 0) | 1 << k
+    return masks
+
+
+def _levenshtein(masks: dict[str, int], m: int, other: str) -> int:
+    """Levenshtein distance (a metric) to a form of ``m`` letters given as bit masks, a column of the table at a time."""
+    if not m:
+        return len(other)
+    full = (1 << m) - 1
+    high, plus, minus, score = 1 << (m - 1), full, 0, m
+    get = masks.get
+    for c in other:
+        eq = get(c, 0)
+        x = eq | minus
+        d = (((eq & plus) + plus) ^ plus) | eq
+        up, down = minus | (full & ~(d | plus)), plus & d
+        if up & high:
+            score += 1
+        elif down & high:
+            score -= 1
+        up, down = ((up << 1) | 1) & full, (down << 1) & full
+        plus, minus = down | (full & ~(x | up)), up & x
+    return score
+
+
 class BKTree:
-    """Forms by their distance to a parent form; ``within`` returns every form no further than ``most``."""
+    """Forms by their Levenshtein distance to a parent form; ``near`` returns every form no further than ``most``."""
 
     def __init__(self, forms: list[str]) -> None:
         self.root: str | None = None
@@ -94,9 +123,9 @@ class BKTree:
             self.root = form
             self.children[form] = {}
             return
-        node = self.root
+        node, masks = self.root, _masks(form)
         while True:
-            d = distance(form, node, 10**6)
+            d = _levenshtein(masks, len(form), node)
             if d == 0:
                 return
             if d not in self.children[node]:
@@ -105,28 +134,42 @@ class BKTree:
                 return
             node = self.children[node][d]
 
-    def within(self, form: str, most: int) -> list[tuple[int, str]]:
-        found, todo = [], [self.root] if self.root is not None else []
+    def near(self, form: str, most: int) -> list[str]:
+        found, todo, masks, m = [], [self.root] if self.root is not None else [], _masks(form), len(form)
         while todo:
             node = todo.pop()
-            d = distance(form, node, 10**6)
+            d = _levenshtein(masks, m, node)
             if d <= most:
-                found.append((d, node))
-            todo += [child for edge, child in self.children[node].items() if d - most <= edge <= d + most]
-        return sorted(found)
+                found.append(node)
+            for edge, child in self.children[node].items():
+                if d - most <= edge <= d + most:
+                    todo.append(child)
+        return found
 
 
 class BKForest:
-    """A BK-tree for each length of form: lengths that differ by more than ``most`` are never looked at."""
+    """A BK-tree for each length of form: lengths that differ by more than ``most`` are never looked at.
+
+    A swap of neighbours is one typing error but two Levenshtein steps, so the trees are asked for twice the
+    distance and the few forms they return are measured exactly.
+    """
 
     def __init__(self, forms: list[str]) -> None:
         self.trees: dict[int, BKTree] = {}
+        self.known: dict[tuple[str, int], list[tuple[int, str]]] = {}
         for form in forms:
             self.trees.setdefault(len(form), BKTree([])).add(form)
 
     def within(self, form: str, most: int) -> list[tuple[int, str]]:
-        trees = (self.trees.get(n) for n in range(len(form) - most, len(form) + most + 1))
-        return sorted(hit for tree in trees if tree for hit in tree.within(form, most))
+        hit = self.known.get((form, most))
+        if hit is None:
+            trees = (self.trees.get(n) for n in range(len(form) - most, len(form) + most + 1))
+            close = [other for tree in trees if tree for other in tree.near(form, 2 * most)]
+            hit = sorted((d, other) for other in close if (d := distance(form, other, most)) <= most)
+            if len(self.known) > 500_000:
+                self.known.clear()
+            self.known[form, most] = hit
+        return hit
 
 
 def reach(form: str) -> int:
@@ -164,12 +207,14 @@ class Canon:
             if ids := self.ids.get(form):
                 return 0, next(iter(ids)) if len(ids) == 1 else 0
         best: tuple[int, set[int]] = (99, set())
-        for form in forms:
+        for form in reversed(forms):  # what is left without wrapping first
             for d, near in self.tree.within(form, reach(form)):
                 if d < best[0]:
                     best = (d, set(self.ids[near]))
                 elif d == best[0]:
                     best[1].update(self.ids[near])
+            if best[0] == 1 and len(best[1]) == 1:
+                break  # nothing can be nearer: no form is the same
         return (best[0], next(iter(best[1]))) if len(best[1]) == 1 else (best[0], 0)
 
 
@@ -193,6 +238,7 @@ class Places:
                 self.countries[key_of(other.replace("_", " "), True)] = key_of(name, True)
         self.tree = BKForest(list(self.cities))
         self.hints = BKForest([h for h in [*self.regions, *self.countries] if len(h) > 4])
+        self._city, self._hint = lru_cache(500_000)(self._city), lru_cache(500_000)(self._hint)
 
     def _city(self, part: str) -> tuple[int, set[int]]:
         """(distance, entries) of the cities a part may mean."""
@@ -241,21 +287,32 @@ class Places:
         return (best[0], next(iter(best[1]))) if len(best[1]) == 1 else (best[0], 0)
 
 
+#: What a worker has built and seen, by the entries it was given: later tasks of the same worker use it again.
+_WORKER: dict[int, tuple[dict, dict]] = {}
+
+
 def _lookup(entries: list[tuple]):
+    mark = hash(repr(entries))
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finders: dict[str, Canon | Places] = {}
-        for kind in {e[1] for e in entries}:
-            own = [e for e in entries if e[1] == kind]
-            placed = any(e[5] for e in own)
-            finders[kind] = Places([(e[0], e[2], e[3], e[4], e[5]) for e in own]) if placed else Canon([(e[0], e[2], e[3]) for e in own])
-        known: dict[tuple[str, str], tuple[int, int]] = {}
+        from recordloom.llm import canon as own_module
+
+        if mark not in own_module._WORKER:
+            finders: dict[str, Canon | Places] = {}
+            for kind in {e[1] for e in entries}:
+                own = [e for e in entries if e[1] == kind]
+                placed = any(e[5] for e in own)
+                finders[kind] = Places([(e[0], e[2], e[3], e[4], e[5]) for e in own]) if placed else Canon([(e[0], e[2], e[3]) for e in own])
+            own_module._WORKER.clear()
+            own_module._WORKER[mark] = finders, {}
+        finders, known = own_module._WORKER[mark]
         for batch in batches:
             far, ids = [], []
             for kind, val in zip(batch.column("kind").to_pylist(), batch.column("val").to_pylist()):
                 hit = known.get((kind, val))
                 if hit is None:
                     hit = finders[kind].find(val) if kind in finders else (99, 0)
-                    if len(known) > 1_000_000:
+                    if len(known) > 500_000:
                         known.clear()
                     if len(val) < 200:
                         known[kind, val] = hit
