@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import dims
 from recordloom.functions import normalize as N
 from recordloom.operators import scoring
+from recordloom.runtime import checkpoint
 
 _ORD = F.struct((-F.col("pri")).alias("p"), F.lower("source_name").alias("s"), F.col("ext_id").alias("e"))
 
@@ -134,7 +135,7 @@ def fuse(ext: DataFrame, groups: DataFrame, as_of: str, mode: str = "reference",
     """Profiles (see schema.PROFILE) with root; candidate_id is a hash of the group's members' least record."""
     from recordloom.operators.schema import PROFILE
 
-    m = ordered(ext, groups)
+    m = checkpoint(ordered(ext, groups))  # every field reads the members again
     base = m.groupBy("root").agg(F.countDistinct(F.lower("source_name")).alias("n_sources"))
     name = resolve(m, "full_name", True).select("root", F.col("value").alias("full_name"), F.col("adjustment").alias("name_adj"))
     head = resolve(m, "headline").select("root", F.col("value").alias("headline"), F.col("adjustment").alias("head_adj"))

@@ -69,9 +69,13 @@ def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
 def key_map(json_text: Column) -> Column:
     """map<string,string> of a JSON object with keys in lower case; nested values stay JSON."""
     entries = F.map_entries(F.from_json(json_text, "map<string,string>"))
-    low = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    last = F.filter(low, lambda e, i: ~F.exists(F.slice(low, i + 2, F.greatest(F.size(low), F.lit(1))), lambda o: o["key"] == e["key"]))
-    return F.map_from_entries(last)
+    fresh = F.array().cast("array<struct<key:string,value:string>>")
+
+    def step(acc: Column, e: Column) -> Column:  # of keys that differ in case only the last wins
+        low = F.lower(e["key"])
+        return F.concat(F.filter(acc, lambda o: o["key"] != low), F.array(F.struct(low.alias("key"), e["value"].alias("value"))))
+
+    return F.map_from_entries(F.aggregate(entries, fresh, step))
 
 
 def first_key(m: Column, names: list[str]) -> Column:
@@ -98,7 +102,9 @@ def _entries(value: Column, keys: dict[str, list[str]], kind: str) -> Column:
         return F.struct(*[(joined(first_key(m, keys[n])) if m is not None and n in keys else text if n == "summary" else F.lit(None)).cast("string").alias(n) for n in names])
 
     items = F.filter(F.from_json(value, "array<string>"), lambda x: x.isNotNull() & (strip(x) != ""))
-    listed = F.transform(items, lambda x: F.when(x.startswith("{"), of(F.lit(None).cast("string"), key_map(x))).otherwise(of(strip(x), None)))
+    none = F.lit(None).cast("string")
+    # the inner transform binds the map of an entry, so that it is built once and not once per field
+    listed = F.transform(items, lambda x: F.when(x.startswith("{"), F.element_at(F.transform(F.array(key_map(x)), lambda m: of(none, m)), 1)).otherwise(of(strip(x), None)))
     rows = F.transform(F.filter(F.transform(F.split(value, r"\r?\n"), strip), lambda x: x != ""), lambda x: of(x, None))
     return F.when(value.isNull(), F.array().cast(kind)).when(value.startswith("["), listed).otherwise(rows).cast(kind)
 
