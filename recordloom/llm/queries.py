@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions.cells import emails_of, profile_key
-from recordloom.llm import canon, components, leakage, linkage, lookalike, pack, survivor
+from recordloom.llm import canon, components, leakage, linkage, lookalike, pack, survivor, truth
 from recordloom.runtime import table
 
 
@@ -15,6 +15,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.survivors(table(spark, sf_dir, "result_with_pdfs"), survivor.trust_table(table(spark, sf_dir, "source_trust")))
 
 
+def p3_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most probable name and headline of each candidate, with its posterior."""
+    best, _, _ = truth.fuse(truth.names_and_headlines(table(spark, sf_dir, "result_with_pdfs")))
+    return best.select(F.col("object").alias("candidate_id"), F.col("field").alias("field_name"), "value", F.round("posterior", 6).alias("posterior"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of a candidates row and a student row of one person."""
     return p4_confidence(spark, sf_dir).select("ext_id_a", "ext_id_b")
@@ -76,5 +82,22 @@ def p10_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.uniform(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_clean": p9_clean, "p10_found": p10_found, "p10_uniform": p10_uniform}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found, "p3_fused": p3_fused, "p4_found": p4_found, "p4_confidence": p4_confidence, "p5_found": p5_found, "p6_found": p6_found, "p8_packed": p8_packed, "p9_found": p9_found, "p9_clean": p9_clean, "p10_found": p10_found, "p10_uniform": p10_uniform}
+
+def _p6_sql() -> str:
+    mail = r"regexp_extract(lower(email), '([^\s<>\"''()\[\],;:@]+@[^\s<>\"''()\[\],;:@]+\.[^\s<>\"''()\[\],;:@.]{2,})', 1)"
+    profile = r"regexp_extract(lower(linkedin), 'linkedin\.[a-z.]+/(?:[a-z]{2}/)?(?:in|pub|profile)/+([^/?#\s]+)', 1)"
+    clean = lambda c: f"lower(trim({c}, ' ' || chr(9) || chr(10)))"
+    return (
+        f"with recursive p as (select {clean('left_id')} as u, {clean('right_id')} as v from match_pairs where decision = 'match'), "
+        f"t as (select ext_id, 'e' || {mail} as k from student1_english where {mail} <> '' union all select ext_id, 'l' || {profile} from student1_english where {profile} not in ('', 'me')), "
+        "s as (select 's' || ext_id as u, 's' || min(ext_id) over (partition by k) as v from t), "
+        "e as (select u, v from p where u <> v union select v, u from p where u <> v union select u, v from s where u <> v union select v, u from s where u <> v), "
+        "r(a, b) as (select u, u from e union select r.a, e.v from r join e on e.u = r.b), "
+        "g as (select a, min(b) as least, min(case when a like 's%' then substr(b, 2)::bigint end) as least_id from r group by a) "
+        "select case when least_id is null then 'result_with_pdfs' else 'student1_english' end as src_table, case when least_id is null then a else substr(a, 2) end as rec_key, case when least_id is null then least else least_id::varchar end as group_key from g"
+    )
+
+
+#: SQL on whole tables where SQL can say it; the other operators are tested against brute force in tests/llm.
+ORACLE: dict[str, str] = {"p6_found": _p6_sql()}
