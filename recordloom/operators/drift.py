@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.runtime import checkpoint
+
 NESTED = "experience"
 #: Share of the comparable values that must agree for a rename, and how many must agree at least.
 AGREE, LEAST = 0.6, 2
@@ -45,10 +47,13 @@ def _leaves(v: Column) -> Column:
     return F.filter(F.array_distinct(parts), lambda p: (p != "") & (p != "null"))
 
 
-def cells(df: DataFrame, feed: str = "feed_id", file: str = "file_no", who: str = "applicant_ref", payload: str = "payload", nested: str = NESTED) -> DataFrame:
-    """feed, file, who, pos (0, or the place of the entry from 1), path, v (variant): one row per field of a record."""
+def cells(df: DataFrame, feed: str = "feed_id", file: str = "file_no", who: str = "applicant_ref", payload: str = "payload", nested: str = NESTED, key: str | None = None) -> DataFrame:
+    """feed, file, who, pos (0, or the place of the entry from 1), path, v (variant): one row per field of a record.
+
+    With ``key``, a column that names the record, who is that.
+    """
     spark = df.sparkSession
-    records = df.select(F.col(f"`{feed}`").alias("feed"), F.col(f"`{file}`").alias("file"), F.col(f"`{who}`").alias("who"), F.try_parse_json(F.col(f"`{payload}`")).alias("doc"))
+    records = df.select(F.col(f"`{feed}`").alias("feed"), F.col(f"`{file}`").alias("file"), F.col(f"`{key or who}`").alias("who"), F.try_parse_json(F.col(f"`{payload}`")).alias("doc"))
     records = records.where(F.schema_of_variant("doc").startswith("OBJECT"))
     top = spark.sql("select feed, file, who, e.key as path, e.value as v from {t} as t, lateral variant_explode(t.doc) as e", t=records)
     entries = records.withColumn("entries", F.try_variant_get("doc", f"$.{nested}", "variant"))
@@ -79,15 +84,11 @@ def catalogue(all_cells: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumn("lo", F.min("ord").over(whole)).withColumn("hi", F.max("ord").over(whole))
 
 
-def changes(df: DataFrame, feed: str = "feed_id", file: str = "file_no", who: str = "applicant_ref", payload: str = "payload", nested: str = NESTED) -> DataFrame:
-    """(feed, file, change_kind, old_path, new_path) of each file against the file before it."""
-    from recordloom.runtime import checkpoint
-
+def _lifespans(df: DataFrame, feed: str, file: str, who: str, payload: str, nested: str) -> tuple[DataFrame, ...]:
+    """cells, files, catalogue, renamed (feed, ord, old_path, new_path), and all starts and endings."""
     everything = cells(df, feed, file, who, payload, nested)
     files = _files(df, feed, file)
     cat = checkpoint(catalogue(everything, files))  # small: files x fields
-    order = files.select("feed", "ord", "file")
-    retyped = cat.where("prev_kind is not null and kind is not null and kind <> prev_kind").select("feed", "ord", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_path"), F.col("path").alias("new_path"))
     starts = cat.where("lo = ord and ord > 1").select("feed", "ord", F.col("path").alias("new_path"), F.col("lo").alias("new_lo"), F.col("hi").alias("new_hi"))
     ends = cat.where("hi = ord and ord < last").select("feed", (F.col("ord") + 1).alias("ord"), F.col("path").alias("old_path"), F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"))
     both = starts.join(ends, ["feed", "ord"]).where(F.col("new_path").contains(".") == F.col("old_path").contains("."))
@@ -111,8 +112,62 @@ def changes(df: DataFrame, feed: str = "feed_id", file: str = "file_no", who: st
     best = votes.withColumn("a", F.row_number().over(Window.partitionBy("feed", "at", "old_path").orderBy(strength.desc(), "new_path")))
     best = best.withColumn("b", F.row_number().over(Window.partitionBy("feed", "at", "new_path").orderBy(strength.desc(), "old_path"))).where("a = 1 and b = 1")
     renamed = checkpoint(best.select("feed", F.col("at").alias("ord"), "old_path", "new_path"))
+    return everything, files, cat, renamed, starts, ends
+
+
+def changes(df: DataFrame, feed: str = "feed_id", file: str = "file_no", who: str = "applicant_ref", payload: str = "payload", nested: str = NESTED) -> DataFrame:
+    """(feed, file, change_kind, old_path, new_path) of each file against the file before it."""
+    _, files, cat, renamed, starts, ends = _lifespans(df, feed, file, who, payload, nested)
+    order = files.select("feed", "ord", "file")
+    retyped = cat.where("prev_kind is not null and kind is not null and kind <> prev_kind").select("feed", "ord", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_path"), F.col("path").alias("new_path"))
     added = starts.join(renamed.select("feed", "ord", "new_path"), ["feed", "ord", "new_path"], "left_anti").select("feed", "ord", F.lit("added").alias("change_kind"), F.lit("").alias("old_path"), "new_path")
     removed = ends.join(renamed.select("feed", "ord", "old_path"), ["feed", "ord", "old_path"], "left_anti").select("feed", "ord", F.lit("removed").alias("change_kind"), "old_path", F.lit("").alias("new_path"))
     moved = renamed.select("feed", "ord", F.lit("renamed").alias("change_kind"), "old_path", "new_path")
     rows = retyped.unionByName(added).unionByName(removed).unionByName(moved)
     return rows.join(order, ["feed", "ord"]).select(F.col("feed").alias(feed), F.col("file").alias(file), "change_kind", "old_path", "new_path")
+
+
+def originals(cat: DataFrame, renamed: DataFrame) -> DataFrame:
+    """(feed, path, lo, hi, original, kind): every lifespan with the name and type its field began with.
+
+    Renames form chains; pointers to the lifespan before are jumped until all of them point to a beginning.  Only
+    the catalogue is read.
+    """
+    spans = cat.groupBy("feed", "path", "lo", "hi").agg(F.min_by("kind", F.when(F.col("kind").isNotNull(), F.col("ord"))).alias("kind"))
+    came = renamed.select("feed", F.col("ord").alias("lo"), F.col("new_path").alias("path"), F.col("old_path"), (F.col("ord") - 1).alias("hi_before"))
+    before = spans.select("feed", F.col("path").alias("old_path"), F.col("hi").alias("hi_before"), F.struct("path", "lo").alias("parent"))
+    parents = spans.join(came, ["feed", "path", "lo"], "left").join(before, ["feed", "old_path", "hi_before"], "left")
+    links = checkpoint(parents.select("feed", F.struct("path", "lo").alias("me"), "hi", "kind", F.coalesce("parent", F.struct("path", "lo")).alias("root")))
+    while True:
+        up = links.select("feed", F.col("me").alias("root"), F.col("root").alias("above"))
+        moved = checkpoint(links.join(up, ["feed", "root"]).select("feed", "me", "hi", "kind", "above", (F.col("above") != F.col("root")).alias("moved")))
+        links = moved.select("feed", "me", "hi", "kind", F.col("above").alias("root"))
+        if moved.where("moved").isEmpty():
+            break
+    first = links.select("feed", F.col("me").alias("root"), F.col("kind").alias("first_kind"))
+    return links.join(first, ["feed", "root"]).select("feed", F.col("me.path").alias("path"), F.col("me.lo").alias("lo"), "hi", F.col("root.path").alias("original"), F.coalesce("first_kind", "kind").alias("kind"))
+
+
+def _as_kind(v: Column, kind: Column) -> Column:
+    """The value as text in the type its field began with; null where it cannot be that."""
+    text = F.coalesce(F.when(_kind(v) == "string", F.try_variant_get(v, "$", "string")), F.to_json(v))
+    leaves = F.array_join(F.filter(F.split(F.regexp_replace(text, r'"(?:[^"\\]|\\.){0,200}"\s*:|[\[\]{}"]', ""), ","), lambda x: x != ""), " ")
+    return (
+        F.when(_kind(v).isNull(), None)
+        .when((kind == "number") & text.try_cast("double").isNull(), None)
+        .when((kind == "boolean") & text.try_cast("boolean").isNull(), None)
+        .when((kind == "string") & _kind(v).isin("object", "list"), leaves)
+        .otherwise(text)
+    )
+
+
+def unify(df: DataFrame, key: str = "rec_id", feed: str = "feed_id", file: str = "file_no", who: str = "applicant_ref", payload: str = "payload", nested: str = NESTED) -> DataFrame:
+    """One row per record under the original field names: key, feed, file, fields (map), and the nested entries (array of maps)."""
+    _, files, cat, renamed, _, _ = _lifespans(df, feed, file, who, payload, nested)
+    spans = originals(cat, renamed)
+    rows = cells(df, feed, file, who, payload, nested, key).join(files.select("feed", "file", "ord"), ["feed", "file"])
+    named = rows.join(spans, ["feed", "path"]).where(F.col("ord").between(F.col("lo"), F.col("hi")) & (F.col("path") != nested))
+    field = F.regexp_replace("original", f"^{nested}\\.", "")
+    per = named.groupBy("feed", "file", "who", "pos").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(field.alias("key"), _as_kind(F.col("v"), F.col("kind")).alias("value"))))).alias("m"))
+    whole = per.groupBy("feed", "file", "who").agg(F.max(F.when(F.col("pos") == 0, F.map_entries("m"))).alias("f"), F.array_sort(F.collect_list(F.when(F.col("pos") > 0, F.struct("pos", F.map_entries("m").alias("m"))))).alias("e"))
+    return whole.select(F.col("who").alias(key), F.col("feed").alias(feed), F.col("file").alias(file), F.map_from_entries("f").alias("fields"), F.transform("e", lambda x: F.map_from_entries(x["m"])).alias(nested))

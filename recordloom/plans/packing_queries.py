@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordloom.operators import drift, packed, rejects
 from recordloom.runtime import table
@@ -30,5 +31,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "student_files"))
 
 
-QUERIES = {"p7_found": p7_found, "p1_found": p1_found, "p2_found": p2_found, "p2_sound": p2_sound}
+def p7_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of every feed under the field names its feed began with."""
+    u = drift.unify(table(spark, sf_dir, "student_files"))
+    return u.select("rec_id", "feed_id", "file_no", F.to_json("fields").alias("fields"), F.to_json("experience").alias("experience"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_unified": p7_unified, "p1_found": p1_found, "p2_found": p2_found, "p2_sound": p2_sound}
 ORACLE: dict[str, str] = {}
