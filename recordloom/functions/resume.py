@@ -149,6 +149,7 @@ def education(text: Column) -> Column:
             F.when(second.rlike(inside), strip(F.regexp_extract(second, inside, 1))).otherwise(second).alias("degree"),
             F.when(second.rlike(inside), strip(F.regexp_extract(second, inside, 2))).alias("field_of_study"),
             _none(F.regexp_extract(block, r"\b(?:19|20)\d{2}\b", 0)).alias("year"),
+            F.lit(None).cast("string").alias("summary"),
         )
 
     return F.transform(blocks, entry)

@@ -16,12 +16,10 @@ from recordloom.functions import normalize as N
 from recordloom.operators import scoring
 from recordloom.runtime import checkpoint
 
-_ORD = F.struct((-F.col("pri")).alias("p"), F.lower("source_name").alias("s"), F.col("ext_id").alias("e"))
-
 
 def ordered(ext: DataFrame, groups: DataFrame) -> DataFrame:
     """Extractions with their root and their place in the order of the group."""
-    return ext.join(groups, "ext_id").withColumn("pri", dims.priority(F.col("source_name"))).withColumn("ord", _ORD)
+    return ext.join(groups, "ext_id").withColumn("pri", dims.priority(F.col("source_name"))).withColumn("ord", F.struct((-F.col("pri")).alias("p"), F.lower("source_name").alias("s"), F.col("ext_id").alias("e")))
 
 
 def resolve(members: DataFrame, field: str, name_like: bool = False) -> DataFrame:

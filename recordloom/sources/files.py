@@ -14,22 +14,27 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     The files' bytes are read once by the executors; only the list of paths is on the driver.
     """
-    wanted = spark.createDataFrame([(i, p, p.rsplit("/", 1)[-1]) for i, p in enumerate(paths)], "file_ord int, path string, name string")
-    there = [p for p in paths if _exists(spark, p)]
+    sizes = [_size(spark, p) for p in paths]
+    wanted = spark.createDataFrame([(i, p, p.rsplit("/", 1)[-1], n) for i, (p, n) in enumerate(zip(paths, sizes))], "file_ord int, path string, name string, length bigint")
+    there = [p for p, n in zip(paths, sizes) if n]
     if there:
-        bytes_ = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:/+", "/").alias("real"), "length", "content")
+        bytes_ = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:/+", "/").alias("real"), "content")
         wanted = wanted.join(bytes_, F.regexp_replace("path", "^file:/+", "/") == F.col("real"), "left").drop("real")
     else:
-        wanted = wanted.withColumn("length", F.lit(None).cast("bigint")).withColumn("content", F.lit(None).cast("binary"))
+        wanted = wanted.withColumn("content", F.lit(None).cast("binary"))
     ext = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     kind = F.when(ext.isin(*KINDS), ext)
     return wanted.withColumn("kind", kind).withColumn("warnings", _warnings())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _size(spark: SparkSession, path: str) -> int | None:
+    """Bytes of a regular file, null where there is none."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.exists(hadoop)) and fs.getFileStatus(hadoop).isFile()
+    if not fs.exists(hadoop):
+        return None
+    status = fs.getFileStatus(hadoop)
+    return status.getLen() if status.isFile() else None
 
 
 def decode(content: Column) -> Column:
@@ -47,13 +52,13 @@ def _warnings() -> Column:
     head, first = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))
     kind = F.col("kind")
     return F.array_compact(F.array(
-        F.when(F.col("content").isNull(), F.lit("CRITICAL: file not found")),
+        F.when(F.col("length").isNull(), F.lit("CRITICAL: file not found")),
         F.when(F.col("length") == 0, F.lit("CRITICAL: file is empty")),
         F.when(kind.isNull(), F.lit("CRITICAL: unknown file type")),
         F.when((kind == "json") & (F.col("length") > 0) & parsed.isNull(), F.lit("CRITICAL: not valid JSON")),
         F.when((kind == "json") & ~(shape.startswith("ARRAY") | shape.startswith("OBJECT")), F.lit("JSON root is neither object nor array")),
         F.when((kind == "json") & F.trim(text).rlike(r"^(?:\[\s*\]|\{\s*\})$"), F.lit("JSON is empty")),
-        F.when((kind == "csv") & head.isNull(), F.lit("CRITICAL: no header row")),
+        F.when((kind == "csv") & (F.col("length") > 0) & head.isNull(), F.lit("CRITICAL: no header row")),
         F.when((kind == "csv") & (width(head) > MANY_COLUMNS), F.lit("unusually many columns")),
         F.when((kind == "csv") & head.isNotNull() & first.isNull(), F.lit("header only")),
         F.when((kind == "csv") & (width(first) != width(head)), F.lit("first row and header differ in width")),
