@@ -10,7 +10,7 @@ STAND_INS = (
     "n/a", "na", "n.a.", "n.a", "n/k", "none", "null", "nil", "nan", "unknown", "undefined", "missing", "empty",
     "not provided", "not available", "not applicable", "not given", "not specified", "not known", "no name", "no value",
     "tbd", "tba", "tbc", "to be defined", "to be confirmed", "to be announced", "-", "--", "---", "- - -", "?", "??", "???", ".", "..", "...", "x", "xx", "xxx",
-    "sin datos", "keine angabe", "k.a.", "k. a.", "ohne", "inconnu", "desconocido", "unbekannt", "нет", "test", "[none]", "(none)", "<none>", "#n/a",
+    "sin datos", "keine angabe", "k.a.", "k. a.", "ohne", "inconnu", "desconocido", "unbekannt", "нет", "[none]", "(none)", "<none>", "#n/a",
 )
 
 #: Every white-space character of Unicode, and the zero-width marks that pad cells unseen.

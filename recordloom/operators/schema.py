@@ -19,3 +19,10 @@ def conform(df, **given):
     from pyspark.sql import functions as F
 
     return df.select(*[(given[n] if n in given else F.lit(None)).cast(t).alias(n) for n, t in EXTRACTION.items()])
+
+
+def profile_schema() -> str:
+    """The shape of a profile as Spark's JSON schema, for whoever serves it."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    return _parse_datatype_string(PROFILE.replace("\n", " ")).json()

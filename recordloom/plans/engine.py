@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from datetime import date
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.operators import fusion, linkage, projection, validation
@@ -45,7 +45,7 @@ class Engine:
         paths = [(r["file_ord"], r["path"], r["kind"]) for r in usable.select("file_ord", "path", "kind").collect()]  # the list of files
         parts: list[DataFrame] = []
         for ord_, path, kind in paths:
-            if kind == "csv":  # one reader per header
+            if kind == "csv":  # one reader per header; records may span lines, so a file is read in order by one task
                 rows = records.read_csv(self.spark, [path]).drop("__file").withColumn("__id", F.monotonically_increasing_id())
                 parts.append(records.from_rows(rows, "__id").withColumn("file_ord", F.lit(ord_)))
         text = usable.where("kind = 'json'").select("file_ord", F_.decode(F.col("content")).alias("text"))
@@ -59,12 +59,9 @@ class Engine:
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
-        # numbers must be the same however the data is partitioned: rank of (file, record), per file and then over files
-        every = every.withColumn("nth", F.row_number().over(Window.partitionBy("file_ord").orderBy("ext_id")))
-        sizes = every.groupBy("file_ord").agg(F.count("*").alias("n"))
-        before = sizes.select("file_ord", (F.sum("n").over(Window.orderBy("file_ord")) - F.col("n")).alias("before"))  # one row a file
-        numbered = every.join(before, "file_ord").withColumn("ext_id", F.col("before") + F.col("nth") - 1)
-        return numbered.select(*EXTRACTION)
+        # file and record in one number: the order of the input without sorting or counting anything, so that a
+        # file of any size is no single task's work
+        return every.withColumn("ext_id", F.col("file_ord").cast("long") * F.lit(2**40) + F.col("ext_id")).select(*EXTRACTION)
 
     def run(self, paths: list[str], config: dict[str, Any] | None = None) -> Result:
         config = projection.check_config(config) if config else None

@@ -110,7 +110,7 @@ def json_keys(spark, sf_dir):
 def resume_person(spark, sf_dir):
     p = resume.person(F.col("text"))
     size = lambda c: F.size(p[c]).alias(f"n_{c}")
-    return table(spark, sf_dir, "documents").where("kind = 'resume'").select("doc_id", p["full_name"].alias("full_name"), p["headline"].alias("headline"), size("skills"), size("experience"), size("education"))
+    return table(spark, sf_dir, "documents").select("doc_id", p["full_name"].alias("full_name"), p["headline"].alias("headline"), size("skills"), size("experience"), size("education"))
 
 
 # ------------------------------------------------------------------ linkage
