@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.functions.cells import emails_of, profile_key
+from recordloom.functions.cells import STAND_INS, emails_of, profile_key
 from recordloom.llm import canon, components, leakage, linkage, lookalike, pack, survivor, truth
 from recordloom.runtime import table
 
@@ -99,5 +99,31 @@ def _p6_sql() -> str:
     )
 
 
+def _p3_sql() -> str:
+    quote = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+    rx = lambda p: p.replace("(?iu)", "(?i)").replace("'", "''")
+    ws = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
+    strip = lambda c: f"trim({c}, {ws})"
+
+    def usable(c: str, more: tuple[str, ...]) -> str:
+        v = strip(c)
+        low, tight = f"lower({v})", f"regexp_replace(lower({v}), '\\s+', '', 'g')"
+        bare = f"regexp_replace(regexp_replace({low}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'), '\\s+', ' ', 'g')"
+        tests = [f"{low} in ('', {quote(STAND_INS)})", f"not regexp_matches({low}, '\\p{{L}}')", f"{bare} in ({quote(survivor.HEADINGS)})", f"length({tight}) >= 3 and replace({tight}, left({tight}, 1), '') = ''"]
+        tests += [f"regexp_matches({v}, '{rx(p)}')" for p in (survivor._PAGE, survivor._FILE, survivor._MAIL, survivor._LINK, survivor._PHONE, *more)]
+        return f"{c} is not null and not ({' or '.join(tests)})"
+
+    trust = lambda f: f"greatest(coalesce(list_max(list_transform(list_filter(provenance, lambda p: lower(trim(p.field_name)) = '{f}'), lambda p: coalesce(t[lower(trim(p.source))], 0))), 0), 0)"
+    pairs = "len(list_distinct(list_filter(flatten(list_transform(list_filter(skills, lambda k: k.sources is not null), lambda k: list_transform(k.sources, lambda x: {'n': lower(" + strip("k.name") + "), 's': lower(" + strip("x") + ")}))), lambda q: q.n <> '' and q.s <> '')))"
+    order = "updated_at desc nulls last, result_id"
+    pick = lambda f, ok, by: f"select candidate_id, '{f}' as field_name, result_id from (select *, row_number() over (partition by candidate_id order by {by} {order}) as nth from r where {ok}) where nth = 1"
+    return (
+        "with tm as (select map(list(lower(trim(source))), list(trust)) as t from source_trust), r as (select result_with_pdfs.*, t from result_with_pdfs, tm where candidate_id in (select candidate_id from result_with_pdfs group by 1 having count(*) >= 2)) "
+        + pick("full_name", usable("full_name", ()), f"{trust('full_name')} desc, len(regexp_split_to_array({strip('full_name')}, '\\s+')) desc,")
+        + " union all " + pick("headline", usable("headline", (survivor._PHONE_IN,)), f"{trust('headline')} desc,")
+        + " union all " + pick("skills", f"{pairs} > 0", f"{pairs} desc,")
+    )
+
+
 #: SQL on whole tables where SQL can say it; the other operators are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {"p6_found": _p6_sql()}
+ORACLE: dict[str, str] = {"p3_found": _p3_sql(), "p6_found": _p6_sql()}
