@@ -394,7 +394,7 @@ _MAIL, _PHONE = resume.MAIL, resume.PHONE
 _LOCATION = resume.LOCATION.replace("(?<city>", "(").replace("(?<region>", "(").replace("(?<country>", "(")
 
 ORACLE = {
-    "extract_emails": f"select doc_id, list_aggregate(list_sort(list_distinct(regexp_extract_all(text, '{_MAIL}'))), 'string_agg', '|') as emails from documents",
+    "extract_emails": f"select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{_MAIL}'))), '|') as emails from documents",
     "extract_phones": f"select doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '{_PHONE}'), lambda p: {_strip('p')}), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) between 7 and 15))), '|') as phones from documents",
     "extract_location": "select doc_id, " + ", ".join(f"{_strip(f'''regexp_extract(text, '{_LOCATION}', {k})''')} as location_{n}" for k, n in ((1, "city"), (2, "region"), (3, "country"))) + " from documents",
     "phone_e164": f"select ext_id, {_e164('phone')} as digits_rule, {_e164('phone', True)} as library_rule from candidates",
