@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import dims, resume
 from recordloom.functions import normalize as N
-from recordloom.functions.cells import STAND_INS, profile_key
+from recordloom.functions.cells import STAND_INS
 from recordloom.operators import fusion, linkage, projection, report, validation
 from recordloom.operators.schema import EXPERIENCE
 from recordloom.runtime import table
@@ -40,15 +40,10 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every
 
 
-def by_profile(ext: DataFrame) -> DataFrame:
-    """(ext_id, root): extractions with the same linkedin profile name."""
-    keyed = ext.select("ext_id", profile_key(F.col("linkedin")).alias("k")).where("k is not null")
-    return keyed.join(keyed.groupBy("k").agg(F.min("ext_id").alias("root")), "k").select("ext_id", "root")
-
-
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every extraction with the root of its group; one that shares nothing is a group of its own."""
     ext = extractions(spark, sf_dir)
-    return fusion.ordered(ext, by_profile(ext))
+    return fusion.ordered(ext, linkage.link(ext, ignore_stand_ins=True))
 
 
 # ------------------------------------------------------------------ text and normalisers
@@ -181,7 +176,7 @@ def fuse_profiles(spark, sf_dir):
 
 def overall_confidence(spark, sf_dir):
     ext = extractions(spark, sf_dir).withColumn("full_name", F.regexp_replace("full_name", r"[^\x00-\x7f]", ""))
-    p = fusion.fuse(ext, by_profile(ext), AS_OF)
+    p = fusion.fuse(ext, linkage.link(ext, ignore_stand_ins=True), AS_OF)
     return p.select("root", "overall_confidence")
 
 
@@ -237,6 +232,7 @@ QUERIES = {
 }
 
 # ------------------------------------------------------------------ the same in SQL
+# What reads _MEMBERS has groups by linkedin profile alone: of merge_priority ... provenance_distinct it is a part, not the same.
 
 _WS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
 
