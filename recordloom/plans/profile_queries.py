@@ -127,9 +127,7 @@ def merge_priority(spark, sf_dir):
 
 
 def name_agreement(spark, sf_dir):
-    m = members(spark, sf_dir)
-    plain = m.groupBy("root").agg(F.max((~F.coalesce("full_name", F.lit("")).rlike(r"^[\x00-\x7f]*$")).cast("int")).alias("odd")).where("odd = 0")
-    return fusion.resolve(m.join(plain, "root", "left_semi"), "full_name", True).select("root", F.col("value").alias("full_name"), "source", "adjustment")
+    return fusion.resolve(members(spark, sf_dir), "full_name", True).select("root", F.col("value").alias("full_name"), "source", "adjustment")
 
 
 def merged_emails(spark, sf_dir):
@@ -165,7 +163,7 @@ def education_first(spark, sf_dir):
 
 
 def provenance_distinct(spark, sf_dir):
-    return fusion.provenance(members(spark, sf_dir)).where("field in ('email', 'phone', 'location', 'links.linkedin', 'links.github') or field like 'skill:%'")
+    return fusion.provenance(members(spark, sf_dir))
 
 
 def fuse_profiles(spark, sf_dir):
@@ -175,7 +173,7 @@ def fuse_profiles(spark, sf_dir):
 
 
 def overall_confidence(spark, sf_dir):
-    ext = extractions(spark, sf_dir).withColumn("full_name", F.regexp_replace("full_name", r"[^\x00-\x7f]", ""))
+    ext = extractions(spark, sf_dir)
     p = fusion.fuse(ext, linkage.link(ext, ignore_stand_ins=True), AS_OF)
     return p.select("root", "overall_confidence")
 

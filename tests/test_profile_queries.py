@@ -43,3 +43,28 @@ def test_every_record_is_fused_in_the_engines_groups(spark, people, grouped, mon
     assert rows("merge_priority") == {(1, "Foo", "ats_json", 0.05)}
     assert rows("merged_phones") == {(2, "+15551234567")}
     assert rows("education_first") == {(1, "Uni", "BSc", "Physics")}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_accented_names_and_all_provenance_stay(spark, people, grouped, monkeypatch):
+    monkeypatch.setattr(Q, "members", lambda *_: grouped)
+    monkeypatch.setattr(Q.linkage, "link", lambda *_, **__: grouped.select("ext_id", "root"))
+    names = {}
+    for r in sorted(grouped.collect(), key=lambda r: tuple(r["ord"])):
+        names.setdefault(r["root"], []).append((r["full_name"], r["source_name"]))
+    agree = {root: all(distance(own[0][0].lower(), n.lower()) < 3 for n, _ in own) for root, own in names.items()}
+    assert agree == {1: True, 2: True, 3: False}  # with the accents cut off the last would agree too
+    assert {tuple(r) for r in Q.name_agreement(spark, people).collect()} == {(root, *own[0], 0.05 if agree[root] else -0.10) for root, own in names.items()}
+    found = {tuple(r) for r in Q.provenance_distinct(spark, people).collect()}
+    assert {f for f in found if f[0] == 1} >= {(1, "full_name", "ats_json"), (1, "experience:Foo", "ats_json"), (1, "education:Uni", "ats_json"), (1, "skill:SQL", "csv"), (1, "email", "ats_json")}
+    assert (3, "full_name", "ats_json") in found
+    # base, two sources, name and mail there, names differ, two sources with a name
+    assert {r["root"]: r["overall_confidence"] for r in Q.overall_confidence(spark, people).collect()}[3] == pytest.approx(0.5 + 0.2 + 0.04 - 0.10 + 0.05)
