@@ -278,6 +278,17 @@ def test_hot_keys_are_split_without_loss(spark):
     assert {(i, 1000 + i) for i in range(300)} <= pairs and len(pairs) < 300 * 20
 
 
+def test_hot_keys_keep_what_cold_keys_keep(spark):
+    mail, firm = "shared@x.org", "Foo"
+    row = lambda i, name, **more: (i, name, *[more.get(c) for c in ("email", "phone", "linkedin", "company", "title", "location", "skills")])
+    a = people(spark, [row(1, "Katherine Johnson", email=mail), row(2, "Peter Novak", email=mail), row(3, None, email=mail), row(4, "Maria Silva", company=firm), row(5, "Maria Silva", company=firm, skills="js"), row(6, "Old Name", email=mail, phone="5551234567"), row(7, "Ulf Berg", email=mail)])
+    b = people(spark, [row(11, "Kathrine Jonson", email=mail), row(12, "P. N.", email=mail), row(13, "Someone Else", email=mail), row(14, "Maria Silva", company=firm, skills="SQL"), row(15, "Maria Silva", company=firm, skills="javascript"), row(16, "Wed Newly", email=mail, phone="5551234567")])
+    found = lambda hot: {(r["a"], r["b"]) for r in linkage.candidates(a, b, hot, {"js": "javascript"}).collect()}
+    hot, cold = found(2), found(10**6)
+    assert hot >= {(1, 11), (2, 12), (3, 13), (4, 14), (4, 15), (5, 15), (6, 16)}
+    assert hot <= cold and (7, 13) in cold - hot
+
+
 # ------------------------------------------------------------------ survivors
 
 
