@@ -16,9 +16,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most probable name and headline of each candidate, with its posterior."""
-    best, _, _ = truth.fuse(truth.names_and_headlines(table(spark, sf_dir, "result_with_pdfs")))
-    return best.select(F.col("object").alias("candidate_id"), F.col("field").alias("field_name"), "value", F.round("posterior", 6).alias("posterior"))
+    """The most probable name and headline of each candidate and each of its skills, with their posteriors."""
+    versions = table(spark, sf_dir, "result_with_pdfs")
+    best = truth.fuse(truth.names_and_headlines(versions))[0].unionByName(truth.fuse(truth.skill_claims(versions))[0])
+    field = F.when(F.col("field").startswith("skill:"), F.lit("skills")).otherwise(F.col("field"))
+    return best.select(F.col("object").alias("candidate_id"), field.alias("field_name"), "value", F.round("posterior", 6).alias("posterior"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

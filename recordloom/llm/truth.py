@@ -8,8 +8,10 @@ Scale: claims are reduced to one row per object and value with its set of source
 estimated in each round is one number per source and per pair of sources, and only these counts reach the driver
 (``MOST`` bounds the sources).  Objects are never gathered into one task.
 
-Defined results: null and unusable values and claims without a source are no claims; an object with one value has
-that value; equal posteriors go to the smaller value.
+Defined results: null and unusable values are no claims; a value whose source is not named is a claim of the source
+UNKNOWN, whose accuracy stays low and which copies nobody; an object with one value has that value; equal posteriors
+go to the smaller value.  Every skill of a candidate is an object of its own, under its canonical name: its posterior
+tells how far the sources that name it bear it out; a source that does not name it says nothing about it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.functions.cells import strip
+from recordloom.functions import normalize as N
+from recordloom.functions.cells import present, strip
 from recordloom.llm.survivor import usable_headline, usable_name
 from recordloom.runtime import checkpoint
 
@@ -28,6 +31,8 @@ from recordloom.runtime import checkpoint
 MOST = 64
 #: Wrong values an object may have, prior of copying, share of its values that a copier copies.
 WRONG, PRIOR, COPIES = 20, 0.1, 0.8
+#: The source of values that name none, and its fixed accuracy: a little better than a guess among WRONG values.
+UNKNOWN, DOUBTED = "", 0.1
 
 
 def claims(df: DataFrame, key: str, fields: dict[str, tuple[str, Column]], provenance: str = "provenance") -> DataFrame:
@@ -39,12 +44,28 @@ def claims(df: DataFrame, key: str, fields: dict[str, tuple[str, Column]], prove
 
     for name, (column, usable) in fields.items():
         said = about(name)
-        rows = df.where(usable & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("object"), F.lit(name).alias("field"), strip(F.col(column)).alias("value"), F.explode(F.transform(said, lambda p: F.lower(strip(p["source"])))).alias("source"))
-        parts.append(rows.where("source is not null and source <> ''"))
+        parts.append(df.where(usable & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("object"), F.lit(name).alias("field"), strip(F.col(column)).alias("value"), _named(F.transform(said, lambda p: p["source"])).alias("source")))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return found.groupBy("object", "field", F.lower("value").alias("k"), "source").agg(F.min("value").alias("value"))
+    return _once(found)
+
+
+def skill_claims(df: DataFrame, key: str = "candidate_id", skills: str = "skills") -> DataFrame:
+    """(object, field, value, source): the sources of each skill; ``field`` is ``skill:`` and its canonical name."""
+    rows = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("object"), F.explode(skills).alias("s"))
+    rows = rows.select("object", N.skill_name(present(F.col("s.name"))).alias("value"), _named(F.col("s.sources")).alias("source")).where("value is not null")
+    return _once(rows.withColumn("field", F.concat(F.lit("skill:"), F.lower("value"))))
+
+
+def _named(sources: Column) -> Column:
+    """One row per source, UNKNOWN where none is named."""
+    clean = F.filter(F.transform(sources, lambda s: F.lower(strip(s))), lambda s: s.isNotNull() & (s != ""))
+    return F.explode(F.when(F.size(F.coalesce(clean, F.array().cast("array<string>"))) > 0, clean).otherwise(F.array(F.lit(UNKNOWN))))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("object", "field", F.lower("value").alias("k"), "source").agg(F.min("value").alias("value"))
 
 
 def _weights(sources: Column, accuracy: dict[str, float], copying: dict[tuple[str, str], float]) -> Column:
@@ -81,9 +102,9 @@ def fuse(said: DataFrame, rounds: int = 4) -> tuple[DataFrame, dict[str, float],
     known = [r["s"] for r in votes.select(F.explode("sources").alias("s")).distinct().take(MOST + 1)]
     if len(known) > MOST:
         raise ValueError(f"more than {MOST} sources")
-    accuracy: dict[str, float] = dict.fromkeys(sorted(known), 0.8)
+    accuracy: dict[str, float] = {s: DOUBTED if s == UNKNOWN else 0.8 for s in sorted(known)}
     copying: dict[tuple[str, str], float] = {}
-    pairs = list(combinations(sorted(known), 2))
+    pairs = list(combinations(sorted(s for s in known if s != UNKNOWN), 2))
     object_key = ["object", "field"]
     scored = votes
     for turn in range(rounds if known else 0):
@@ -101,7 +122,7 @@ def fuse(said: DataFrame, rounds: int = 4) -> tuple[DataFrame, dict[str, float],
         shared = scored.agg(*[F.sum(F.when(b, F.when(F.col("posterior") > 0.5, 1).otherwise(0))).alias(f"t{i}") for i, b in enumerate(both)], *[F.sum(F.when(b & (F.col("posterior") <= 0.5), 1).otherwise(0)).alias(f"f{i}") for i, b in enumerate(both)]).first() if pairs else {}
         sets = scored.groupBy(*object_key).agg(*[F.max(F.array_contains("sources", s).cast("int")).alias(f"h{i}") for i, s in enumerate(sorted(known))])
         met = sets.agg(*[F.sum(F.col(f"h{sorted(known).index(s)}") * F.col(f"h{sorted(known).index(t)}")).alias(f"m{i}") for i, (s, t) in enumerate(pairs)]).first() if pairs else {}
-        accuracy = {r["s"]: min(max(r["a"], 0.05), 0.95) for r in means}
+        accuracy = {r["s"]: DOUBTED if r["s"] == UNKNOWN else min(max(r["a"], 0.05), 0.95) for r in means}
         stats = [(s, t, shared[f"t{i}"] or 0, shared[f"f{i}"] or 0, max(0, (met[f"m{i}"] or 0) - (shared[f"t{i}"] or 0) - (shared[f"f{i}"] or 0))) for i, (s, t) in enumerate(pairs)]
         copying = _copying(stats, accuracy)
     if not known:

@@ -328,3 +328,22 @@ def test_fusion_finds_truth_and_copiers(spark):
     assert right > 270 and min(accuracy[s] for s in ("s1", "s2", "s3")) > accuracy["bad"]
     assert copying["bad", "copy1"] > 0.9 and copying["s1", "s2"] < 0.5
     assert truth.fuse(df.limit(0))[0].count() == 0
+
+
+def test_fusion_covers_skills_and_values_without_a_source(spark, tmp_path):
+    from recordloom.llm import queries
+
+    schema = "candidate_id string, full_name string, headline string, skills array<struct<name:string,confidence:double,sources:array<string>>>, provenance array<struct<field_name:string,source:string,method:string>>"
+    prov = lambda *s: [("full_name", x, "m") for x in s]
+    rows = [
+        ("a", "Ann Lee", None, [("js", 0.1, ["csv", "ats"]), ("JavaScript ", 0.1, ["csv"]), ("SQL", 0.1, ["csv"]), ("Go", 0.1, None), ("n/a", 0.1, ["csv"])], prov("csv", "ats")),
+        ("a", "Wrong Name", None, None, None),
+        ("b", "Bo Roe", "Dev", None, None),
+        ("c", "Cy Dee", None, [], prov(" ", None)),
+        (None, "No Key", "Dev", [("SQL", 0.1, ["csv"])], prov("csv")),
+    ]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/result_with_pdfs.parquet")
+    got = {(r[0], r[1], r[2]): r[3] for r in queries.p3_fused(spark, str(tmp_path)).collect()}
+    assert set(got) == {("a", "full_name", "Ann Lee"), ("b", "full_name", "Bo Roe"), ("b", "headline", "Dev"), ("c", "full_name", "Cy Dee"), ("a", "skills", "JavaScript"), ("a", "skills", "SQL"), ("a", "skills", "Go")}
+    assert got["b", "full_name", "Bo Roe"] < 0.5 < got["a", "full_name", "Ann Lee"]
+    assert got["a", "skills", "Go"] < got["a", "skills", "SQL"] <= got["a", "skills", "JavaScript"]
