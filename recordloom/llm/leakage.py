@@ -1,7 +1,7 @@
 """Passages of held-out test items inside a training corpus, whole or in part, letter by letter or nearly so.
 
-Every batch of documents is a shard with its own suffix array: word ids in one row, the positions whose words can
-begin a match sorted by the words that follow.  Every test suffix is binary-searched in it, matches are extended
+Every batch of documents is a shard with its own trigram index: word ids in one row, the positions whose next three
+words at most COMMON items hold sorted by these words.  Only test suffixes that begin so are searched, matches are extended
 to their longest verbatim length, and matches of a document and an item on one diagonal are chained.  An exact
 look then aligns the passage there, a changed letter or word costing little and other particulars much; a
 document leaks an item if the aligned stretch runs over ``RUNNING`` words and all but few of them are kept.
