@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark.sql import functions as F
 from recordloom.operators import drift
 
 PEOPLE = ["Ann Lee", "Bob Ray", "Cy Dee", "Di Fox"]
@@ -43,3 +44,37 @@ def test_unified_names(spark):
     last = rows[2]
     assert last["fields"]["name"] in ("Lee Ann", "Ann Lee") and last["fields"]["age"] == "30"
     assert list(last["experience"][0]) == ["company"]
+
+
+def test_a_name_that_comes_back_is_told_apart(spark):
+    rows = []
+    for i, name in enumerate(PEOPLE):
+        who = f"A{i}"
+        rows += [(1, 1, who, {"a": name}), (1, 2, who, {"b": name}), (1, 3, who, {"b": name, "a": i * 7}), (1, 4, who, {"b": name, "c": i * 7})]
+    df = spark.createDataFrame([(n, f, k, w, json.dumps(d)) for n, (f, k, w, d) in enumerate(rows)], SCHEMA)
+    got = {tuple(r) for r in drift.changes(df).collect()}
+    assert got == {(1, 2, "renamed", "a", "b"), (1, 3, "added", "", "a"), (1, 4, "renamed", "a", "c")}
+    last = {r["rec_id"]: dict(r["fields"]) for r in drift.unify(df).collect()}
+    assert last[1] == {"a": PEOPLE[0]} and last[2] == {"a": PEOPLE[0], "a#3": "0"} and last[3] == {"a": PEOPLE[0], "a#3": "0"}
+
+
+def test_every_record_has_a_row(spark):
+    odd = [(100, 1, 1, "A0", "{}"), (101, None, 1, "A0", '{"x": 1}'), (102, 1, None, "A0", '{"x": true}'), (103, 1, 1, "A0", None), (104, 1, 1, None, '{"x": [1, {"y": null}]}'), (105, 1, 2, "A0", '{"k\\ud800": "v\\ud800", "experience": [{}, 3, {"t": "%s"}]}' % ("é" * 50_000))]
+    df = spark.createDataFrame(odd, SCHEMA).withColumn("want", F.lit(1)).withColumn("alias", F.lit(2))
+    rows = {r["rec_id"]: r for r in drift.unify(df).collect()}
+    assert set(rows) == set(range(100, 106))
+    assert dict(rows[101]["fields"]) == {"x": "1"} and dict(rows[104]["fields"]) == {"x": '[1,{"y":null}]'} and dict(rows[100]["fields"]) == {}
+    assert dict(rows[105]["fields"]) == {"k?": "v?"} and len(rows[105]["experience"]) == 2
+
+
+def test_casts_follow_the_first_type():
+    assert [drift.cast(v, "number") for v in ("5", " 7.5 ", "x", [1], None)] == ["5", "7.5", None, None, None]
+    assert [drift.cast(v, "boolean") for v in ("Yes", "0", 1, "x")] == ["true", "false", "true", None]
+    assert [drift.cast(v, "string") for v in ({"a": "x", "b": ["y", 2]}, 3, True)] == ["x y 2", "3", "true"]
+
+
+def test_small_and_large_catalogues_agree(spark, monkeypatch):
+    df = spark.createDataFrame([*feed(), *[(n, 1, f, "n/a", json.dumps({"name" if f < 4 else "person": f"N{n}"})) for n, f in ((200 + k, 1 + k % 4) for k in range(300))]], SCHEMA)
+    small = {tuple(r) for r in drift.changes(df).collect()}
+    monkeypatch.setattr(drift, "SMALL", 0)
+    assert {tuple(r) for r in drift.changes(df).collect()} == small
