@@ -4,9 +4,11 @@ Each source's accuracy and each pair's dependence are estimated together with th
 that share values which turn out false are likely to copy, and a copied vote counts little.  The value with the
 largest posterior stands for its object.
 
-Scale: claims are reduced to one row per object and value with its set of sources, map-side first; what is
-estimated in each round is one number per source and per pair of sources, and only these counts reach the driver
-(``MOST`` bounds the sources).  Objects are never gathered into one task.
+Scale: what an object says is its pattern: which sets of sources bear its values, and how many values each set bears.
+Objects are counted by pattern, map-side first, and every round of the estimation reads these counts alone, never a
+claim; one number per source and per pair of sources that meet reaches the driver (``MOST`` bounds the sources).
+Values are reduced to one row per set of sources before an object is put together, so an object that holds a third
+of all claims is as small there as any other.
 
 Defined results: null and unusable values are no claims; a value whose source is not named is a claim of the source
 UNKNOWN, whose accuracy stays low and which copies nobody; an object with one value has that value; equal posteriors
@@ -17,8 +19,11 @@ tells how far the sources that name it bear it out; a source that does not name
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +32,20 @@ from recordloom.functions.cells import present, strip
 from recordloom.llm.survivor import usable_headline, usable_name
 from recordloom.runtime import checkpoint
 
-#: Sources that a model may have; with more, group them first.
-MOST = 64
+#: Sources that a model may have; their pairs must fit on the driver.
+MOST = 500
 #: Wrong values an object may have, prior of copying, share of its values that a copier copies.
 WRONG, PRIOR, COPIES = 20, 0.1, 0.8
 #: The source of values that name none, and its fixed accuracy: a little better than a guess among WRONG values.
 UNKNOWN, DOUBTED = "", 0.1
+#: Rounds at most, and the change of an accuracy that ends them.
+ROUNDS, SETTLED = 12, 0.002
+#: Sets of sources, up to which their scores are broadcast.
+SMALL = 50_000
 
 
 def claims(df: DataFrame, key: str, fields: dict[str, tuple[str, Column]], provenance: str = "provenance") -> DataFrame:
-    """(object, field, value, source): what each source says; ``fields``: name -> (column, whether it is usable)."""
+    """(object, field, k, value, sources): what each source says; ``fields``: name -> (column, whether it is usable)."""
     parts = []
 
     def about(name: str) -> Column:
@@ -44,43 +53,24 @@ def claims(df: DataFrame, key: str, fields: dict[str, tuple[str, Column]], prove
 
     for name, (column, usable) in fields.items():
         said = about(name)
-        parts.append(df.where(usable & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("object"), F.lit(name).alias("field"), strip(F.col(column)).alias("value"), _named(F.transform(said, lambda p: p["source"])).alias("source")))
+        parts.append(df.where(usable & F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("object"), F.lit(name).alias("field"), strip(F.col(column)).alias("value"), _named(F.transform(said, lambda p: p["source"])).alias("sources")))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return _once(found)
+    return found.withColumn("k", F.lower("value"))
 
 
 def skill_claims(df: DataFrame, key: str = "candidate_id", skills: str = "skills") -> DataFrame:
-    """(object, field, value, source): the sources of each skill; ``field`` is ``skill:`` and its canonical name."""
+    """(object, field, k, value, sources): the sources of each skill; ``field`` is ``skill:`` and its canonical name."""
     rows = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("object"), F.explode(skills).alias("s"))
-    rows = rows.select("object", N.skill_name(present(F.col("s.name"))).alias("value"), _named(F.col("s.sources")).alias("source")).where("value is not null")
-    return _once(rows.withColumn("field", F.concat(F.lit("skill:"), F.lower("value"))))
+    rows = rows.select("object", N.skill_name(present(F.col("s.name"))).alias("value"), _named(F.col("s.sources")).alias("sources")).where("value is not null")
+    return rows.withColumn("k", F.lower("value")).withColumn("field", F.concat(F.lit("skill:"), F.col("k")))
 
 
 def _named(sources: Column) -> Column:
-    """One row per source, UNKNOWN where none is named."""
-    clean = F.filter(F.transform(sources, lambda s: F.lower(strip(s))), lambda s: s.isNotNull() & (s != ""))
-    return F.explode(F.when(F.size(F.coalesce(clean, F.array().cast("array<string>"))) > 0, clean).otherwise(F.array(F.lit(UNKNOWN))))
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("object", "field", F.lower("value").alias("k"), "source").agg(F.min("value").alias("value"))
-
-
-def _weights(sources: Column, accuracy: dict[str, float], copying: dict[tuple[str, str], float]) -> Column:
-    """The vote of a set of sources: log-odds of each, discounted for what it may have copied from a better one."""
-    order = sorted(accuracy, key=lambda s: (-accuracy[s], s))
-    total = F.lit(0.0)
-    for i, s in enumerate(order):
-        own = math.log(WRONG * accuracy[s] / (1 - accuracy[s]))
-        free = F.lit(1.0)
-        for other in order[:i]:
-            dependent = copying.get((min(s, other), max(s, other)), 0.0)
-            if dependent > 0.01:
-                free = free * F.when(F.array_contains(sources, other), F.lit(1 - COPIES * dependent)).otherwise(F.lit(1.0))
-        total = total + F.when(F.array_contains(sources, s), F.lit(own) * free).otherwise(F.lit(0.0))
-    return total
+    """The distinct sources in their order, UNKNOWN where none is named."""
+    clean = F.array_sort(F.array_distinct(F.filter(F.transform(sources, lambda s: F.lower(strip(s))), lambda s: s.isNotNull() & (s != ""))))
+    return F.when(F.size(F.coalesce(clean, F.array().cast("array<string>"))) > 0, clean).otherwise(F.array(F.lit(UNKNOWN)))
 
 
 def _copying(stats: list[tuple], accuracy: dict[str, float]) -> dict[tuple[str, str], float]:
@@ -95,40 +85,100 @@ def _copying(stats: list[tuple], accuracy: dict[str, float]) -> dict[tuple[str,
     return found
 
 
-def fuse(said: DataFrame, rounds: int = 4) -> tuple[DataFrame, dict[str, float], dict[tuple[str, str], float]]:
-    """(object, field, value, posterior), the sources' accuracies, and the pairs' dependence."""
-    votes = said.groupBy("object", "field", "k").agg(F.min("value").alias("value"), F.array_sort(F.collect_set("source")).alias("sources"))
-    votes = checkpoint(votes)
-    known = [r["s"] for r in votes.select(F.explode("sources").alias("s")).distinct().take(MOST + 1)]
+class Model:
+    """What is believed of the sources: their accuracies and which depend on each other."""
+
+    def __init__(self, accuracy: dict[str, float], copying: dict[tuple[str, str], float]) -> None:
+        self.accuracy, self.copying = accuracy, copying
+
+    def score(self, sources: list[str]) -> float:
+        """The vote of a set of sources: log-odds of each, discounted for what it may have copied from a better one."""
+        order, total = sorted(sources, key=lambda s: (-self.accuracy[s], s)), 0.0
+        for i, s in enumerate(order):
+            free = 1.0
+            for other in order[:i]:
+                dependent = self.copying.get((min(s, other), max(s, other)), 0.0)
+                free *= 1 - COPIES * dependent if dependent > 0.01 else 1.0
+            total += math.log(WRONG * self.accuracy[s] / (1 - self.accuracy[s])) * free
+        return total
+
+
+def _tally(model: Model):
+    """(what, s, t, x): sums over patterns of what the next estimate of the sources needs."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter = Counter()
+        scores: dict[tuple[str, ...], float] = {}
+        for batch in batches:
+            for pattern, objects in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sets = [(tuple(p["sources"]), p["n"]) for p in pattern]
+                for own, _ in sets:
+                    if own not in scores:
+                        scores[own] = model.score(list(own))
+                top = max(scores[own] for own, _ in sets)
+                others = max(WRONG + 1 - sum(n for _, n in sets), 0)
+                mass = sum(n * math.exp(scores[own] - top) for own, n in sets) + others * math.exp(min(-top, 700.0))
+                for own, n in sets:
+                    p = math.exp(scores[own] - top) / mass
+                    for s in own:
+                        sums["n", s, ""] += n * objects
+                        sums["p", s, ""] += n * objects * p
+                    for s, t in combinations(own, 2):
+                        sums["true" if p > 0.5 else "false", s, t] += n * objects
+                for s, t in combinations(sorted({s for own, _ in sets for s in own}), 2):
+                    sums["met", s, t] += objects
+        rows = [(*key, float(x)) for key, x in sums.items()]
+        cols = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in cols[:3]], pa.array(cols[3], pa.float64())], names=["what", "s", "t", "x"])
+
+    return tally
+
+
+def _scores(model: Model):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(s) for s in batch.column(0).to_pylist()], pa.float64())], names=["sources", "score"])
+
+    return score
+
+
+def fuse(said: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, dict[str, float], dict[tuple[str, str], float]]:
+    """(object, field, value, posterior), the sources' accuracies, and the pairs' dependence; ``said`` has source or sources."""
+    if "source" in said.columns:
+        said = said.withColumn("sources", F.array("source"))
+    votes = said.groupBy("object", "field", "k").agg(F.min("value").alias("value"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("sources"))
+    # one row per object and set of sources: how many values it bears, and the least of them
+    borne = checkpoint(votes.groupBy("object", "field", "sources").agg(F.count("*").alias("n"), F.min(F.struct("k", "value")).alias("least")))
+    each = F.array_sort(F.collect_list(F.struct("sources", "n")))
+    patterns = checkpoint(borne.groupBy("object", "field").agg(each.alias("pattern")).groupBy("pattern").agg(F.count("*").alias("objects")))
+    sets = checkpoint(borne.select("sources").distinct())
+    known = [r["s"] for r in sets.select(F.explode("sources").alias("s")).distinct().take(MOST + 1)]
     if len(known) > MOST:
         raise ValueError(f"more than {MOST} sources")
-    accuracy: dict[str, float] = {s: DOUBTED if s == UNKNOWN else 0.8 for s in sorted(known)}
-    copying: dict[tuple[str, str], float] = {}
-    pairs = list(combinations(sorted(s for s in known if s != UNKNOWN), 2))
-    object_key = ["object", "field"]
-    scored = votes
-    for turn in range(rounds if known else 0):
-        score = _weights(F.col("sources"), accuracy, copying)
-        scored = votes.withColumn("score", F.least(score, F.lit(600.0)))
-        total = scored.groupBy(*object_key).agg(F.max("score").alias("top"), F.count("*").alias("n"))
-        rest = scored.join(total, object_key).withColumn("e", F.exp(F.col("score") - F.col("top")))
-        mass = rest.groupBy(*object_key).agg((F.sum("e") + F.greatest(F.lit(WRONG + 1) - F.first("n"), F.lit(0)) * F.exp(-F.first("top"))).alias("mass"))
-        scored = rest.join(mass, object_key).withColumn("posterior", F.col("e") / F.col("mass"))
-        if turn == rounds - 1:
+    model = Model({s: DOUBTED if s == UNKNOWN else 0.8 for s in sorted(known)}, {})
+    for _ in range(rounds - 1 if known else 0):
+        rows = patterns.mapInArrow(_tally(model), "what string, s string, t string, x double").groupBy("what", "s", "t").agg(F.sum("x").alias("x")).collect()  # one row a source or pair
+        sums = {(r["what"], r["s"], r["t"]): r["x"] for r in rows}
+        accuracy = {s: DOUBTED if s == UNKNOWN else min(max(sums["p", s, ""] / sums["n", s, ""], 0.05), 0.95) for s in model.accuracy}
+        stats = []
+        for what, s, t in sums:
+            if what == "met" and UNKNOWN not in (s, t):
+                true, false = sums.get(("true", s, t), 0.0), sums.get(("false", s, t), 0.0)
+                stats.append((s, t, true, false, max(0.0, sums["met", s, t] - true - false)))
+        change = max(abs(accuracy[s] - model.accuracy[s]) for s in accuracy)
+        model = Model(accuracy, _copying(stats, accuracy))
+        if change < SETTLED:
             break
-        scored = checkpoint(scored.select(*object_key, "k", "value", "sources", "posterior"))
-        means = scored.select(F.explode("sources").alias("s"), "posterior").groupBy("s").agg(F.avg("posterior").alias("a")).collect()  # one row a source
-        both = [(F.array_contains("sources", s) & F.array_contains("sources", t)) for s, t in pairs]
-        shared = scored.agg(*[F.sum(F.when(b, F.when(F.col("posterior") > 0.5, 1).otherwise(0))).alias(f"t{i}") for i, b in enumerate(both)], *[F.sum(F.when(b & (F.col("posterior") <= 0.5), 1).otherwise(0)).alias(f"f{i}") for i, b in enumerate(both)]).first() if pairs else {}
-        sets = scored.groupBy(*object_key).agg(*[F.max(F.array_contains("sources", s).cast("int")).alias(f"h{i}") for i, s in enumerate(sorted(known))])
-        met = sets.agg(*[F.sum(F.col(f"h{sorted(known).index(s)}") * F.col(f"h{sorted(known).index(t)}")).alias(f"m{i}") for i, (s, t) in enumerate(pairs)]).first() if pairs else {}
-        accuracy = {r["s"]: DOUBTED if r["s"] == UNKNOWN else min(max(r["a"], 0.05), 0.95) for r in means}
-        stats = [(s, t, shared[f"t{i}"] or 0, shared[f"f{i}"] or 0, max(0, (met[f"m{i}"] or 0) - (shared[f"t{i}"] or 0) - (shared[f"f{i}"] or 0))) for i, (s, t) in enumerate(pairs)]
-        copying = _copying(stats, accuracy)
-    if not known:
-        return votes.select(*object_key, "value", F.lit(0.0).alias("posterior")), accuracy, copying
-    best = scored.groupBy(*object_key).agg(F.min(F.struct((-F.col("posterior")).alias("p"), F.col("k"), F.col("value"))).alias("b"))
-    return best.select(*object_key, F.col("b.value").alias("value"), (-F.col("b.p")).alias("posterior")), accuracy, copying
+    scored = sets.mapInArrow(_scores(model), "sources array<string>, score double")
+    scored = borne.join(F.broadcast(scored) if sets.count() <= SMALL else scored, "sources")
+    own = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("score"), "least", "n")))  # one entry a set of sources
+    best = scored.groupBy("object", "field").agg(own.alias("sets"))
+    top = F.get("sets", F.lit(0))
+    values = F.aggregate("sets", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    mass = F.aggregate("sets", F.lit(0.0), lambda acc, x: acc + x["n"] * F.exp(F.col("top") - x["score"]))
+    best = best.select("object", "field", "sets", top["score"].alias("top"), top["least"]["value"].alias("value"), F.greatest(F.lit(WRONG + 1) - values, F.lit(0)).alias("others"))
+    mass = mass + F.col("others") * F.exp(F.least(F.col("top"), F.lit(700.0)))
+    return best.select("object", "field", "value", (F.lit(1.0) / mass).alias("posterior")), model.accuracy, model.copying
 
 
 def names_and_headlines(df: DataFrame) -> DataFrame:
