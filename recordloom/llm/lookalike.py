@@ -1,16 +1,18 @@
 """Texts that look the same though their characters differ, brought to one form.
 
-``uniform`` is the readable form: compatibility forms, separate accents, invisible characters and odd spaces are
-folded everywhere; look-alike letters are replaced only inside tokens that mix scripts, towards the token's
-dominant script, and only if the repaired word occurs in the corpus vocabulary, so foreign words stay intact.
+Compatibility forms, separate accents, invisible characters and odd spaces are folded everywhere.  Look-alike letters
+are repaired word by word: all spellings of the corpus that look the same are one word of its vocabulary, and a word is
+written as the spelling that keeps to one script, first to the script that dominates the document, then to the one the
+corpus writes most.  A word whose spelling no other shares stays as it is, so foreign words stay intact.
 
-``look_key`` decides equality.  A word whose every letter was swapped mixes no scripts, and a rare word is in no
-vocabulary, so the repaired text alone would miss true pairs: the key folds every look-alike letter to one
-representative (accents kept, case, digits and punctuation untouched) and hashes the whole text.
+A repair of mixed-script words alone would leave a word whose every letter was swapped; here the spelling depends on
+nothing but the look of the word and of the document (its script is told by letters that look like no other), so two
+texts get the same uniform text exactly if they look the same.
 
-Scale: both are one narrow pass over the texts; only 16-byte keys are shuffled.  The vocabulary is gathered as
-sets per task before its shuffle.  Pairs are made between the texts of a key and then spread over their copies,
-so a text with a million copies costs its copies, not their square.
+Scale: two narrow passes over the texts.  The first gathers the spellings, counted per task before they are shuffled;
+only words that have several spellings go back to the texts, broadcast if they are counted to be few, else by a join.
+``same_look_pairs`` shuffles 16-byte keys of the uniform texts.  ``members`` gives the class of each document and
+``same_look_pairs`` pairs the texts of a class before their copies; the pairs asked for are as many as they are.
 
 Defined results: null texts look like nothing and pair with nothing; the empty text is a text like any other.
 """
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,15 +31,19 @@ from pyspark.sql import functions as F
 
 from recordloom.runtime import checkpoint
 
-#: Letters of other scripts and the Latin letter they look like.
+#: Letters of other scripts (Cyrillic, Greek, Armenian, Cherokee, phonetic) and the Latin letter they look like.
 LOOK_ALIKE = dict(
     zip(
-        "аеорсухіјѕһԁԛԝӏοϲϳɡɑ"
-        "АВЕКМНОРСТУХІЈЅӀԚԜԌ"
-        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿνҮүօոս",
-        "aeopcyxijshdqwlocjga" "ABEKMHOPCTYXIJSIQWG" "ABEZHIKMNOPTYXJvYyonu",
+        "аеорсухіјѕһԁԛԝӏѵοϲϳɡɑαικρυ"
+        "АВЕКМНОРСТУХІЈЅӀԚԜԌѴ"
+        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧͿνҮүօոսհց"
+        "ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ",
+        "aeopcyxijshdqwlvocjgaaikpu" "ABEKMHOPCTYXIJSIQWGV" "ABEZHIKMNOPTYXJvYyonuhg" "ABCDEHJKLMPRSTVWZ",
+        strict=True,
     )
 )
+#: Words with several spellings, up to which they are broadcast.
+FEW = 500_000
 #: What cannot be seen: format characters, joiners, variation selectors, fillers.
 _HIDDEN = dict.fromkeys(
     [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFEFF, 0xFFA0, *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), *range(0xFFF9, 0xFFFC), *range(0xE0000, 0xE01F0)]
@@ -44,156 +51,197 @@ _HIDDEN = dict.fromkeys(
 _SPACES = {c: " " for c in [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]}
 _FOLD = _HIDDEN | _SPACES
 _SKELETON = {ord(a): b for a, b in LOOK_ALIKE.items()}
-_BACK = {script: {b: a for a, b in LOOK_ALIKE.items() if lo <= ord(a) < hi} for script, lo, hi in (("G", 0x370, 0x400), ("C", 0x400, 0x530))}
-_WORD = re.compile(r"[^\W\d_]+(?:[^\W\d_]|́|̈)*")
+#: A word: letters with their accents, no marks of general punctuation.
+_REST = "\xc0-\xd6\xd8-\xf6\xf8-\u1fff\u2c00-\u2dff\u2e80-\U0010ffff"
+_WORD, _ODD_WORD = re.compile(f"[A-Za-z{_REST}]+"), re.compile(f"[A-Za-z]*[{_REST}][A-Za-z{_REST}]*")
+
+
+def _class(letters) -> str:
+    return "".join(map(re.escape, sorted(letters)))
+
+
+_ALIKE = {*LOOK_ALIKE, *LOOK_ALIKE.values()}
+#: Letters of each script that look like none of another.
+_SURE = {
+    "L": re.compile(f"[{_class({c for c in map(chr, [*range(65, 91), *range(97, 123)]) if c not in _ALIKE})}]"),
+    "C": re.compile(f"[{_class({c for c in map(chr, range(0x400, 0x530)) if c.isalpha() and c not in _ALIKE})}]"),
+    "G": re.compile(f"[{_class({c for c in map(chr, range(0x370, 0x400)) if c.isalpha() and c not in _ALIKE})}]"),
+}
 
 
 _RUN = re.compile("[^\x00-\x7f]+")
-_SEEN: dict[str, str] = {}
+_SEEN: dict[tuple[bool, str], str] = {}
 
 
-def plain(text: str) -> str:
-    """Folded forms, accents composed, nothing invisible, plain spaces; letters of all scripts kept."""
-    if text.isascii():
-        return text
-    return unicodedata.normalize("NFKC", text.translate(_FOLD)).translate(_FOLD)
+def _apart(run: str) -> str:
+    # accents are taken apart before letters are replaced: an accented look-alike equals the accented plain letter
+    return unicodedata.normalize("NFKD", run.translate(_FOLD)).translate(_FOLD)
+
+
+def _of_run(look: bool):
+    def fold(match: re.Match) -> str:
+        run = match.group()
+        done = _SEEN.get((look, run))
+        if done is None:
+            if len(_SEEN) > 200_000:
+                _SEEN.clear()
+            done = _apart(run).translate(_SKELETON) if look else _apart(run)
+            if len(run) < 40:
+                _SEEN[look, run] = done
+        return done
 
+    return fold
 
-def _run(match: re.Match) -> str:
-    run = match.group()
-    look = _SEEN.get(run)
-    if look is None:
-        if len(_SEEN) > 200_000:
-            _SEEN.clear()
-        look = unicodedata.normalize("NFKD", run.translate(_FOLD)).translate(_FOLD | _SKELETON)
-        if len(run) < 40:
-            _SEEN[run] = look
-    return look
+
+_FOLD_RUN, _LOOK_RUN = _of_run(False), _of_run(True)
+
+
+def plain(text: str) -> str:
+    """Folded forms, accents apart, nothing invisible, plain spaces; letters of all scripts kept."""
+    # apart, a run of other characters folds the same whatever plain letters stand around it, so runs are remembered
+    return text if text.isascii() else _RUN.sub(_FOLD_RUN, text)
 
 
 def skeleton(text: str) -> str:
     """The text's look: equal for two texts exactly if they look the same."""
-    if text.isascii():
-        return text
-    # accents are taken apart before letters are replaced: an accented look-alike equals the accented plain letter;
-    # apart, a run of other characters folds the same whatever plain letters stand around it, so runs are remembered
-    return _RUN.sub(_run, text)
+    return text if text.isascii() else _RUN.sub(_LOOK_RUN, text)
 
 
-def _script(c: str) -> str:
+def script_of(c: str) -> str:
     o = ord(c)
     return "L" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "G" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "C" if 0x400 <= o < 0x530 else "-"
 
 
-def repairs(token: str) -> list[str]:
-    """The token in each of its scripts, the dominant one first; nothing if it mixes none or a letter has no counterpart."""
-    if token.isascii():
-        return []
-    scripts = [_script(c) for c in token]
-    kinds = {s for s in scripts if s != "-"}
-    if len(kinds) < 2:
-        return []
-    # letters that look like no other say which script is meant; else the more frequent, then Latin
-    sure = [s for c, s in zip(token, scripts) if s != "-" and not (c in LOOK_ALIKE or any(c in back for back in _BACK.values()))]
-    votes = sure or scripts
-    found = []
-    for main in sorted(kinds, key=lambda s: (-votes.count(s), s != "L", s)):
-        letters = []
-        for c, s in zip(token, scripts):
-            latin = LOOK_ALIKE.get(c, c)
-            letters.append(c if s in ("-", main) else latin if main == "L" else _BACK[main].get(latin))
-        if all(x is not None and _script(x) in ("-", main) for x in letters):
-            found.append("".join(letters))
-    return found
+def scripts_of(word: str) -> str:
+    """The scripts that a word's letters belong to, in the order of the alphabet."""
+    return "".join(sorted({script_of(c) for c in word if not unicodedata.combining(c)}))
+
+
+def main_script(text: str) -> str:
+    """The script of most letters that look like none of another; Latin where there are none, or as many."""
+    counts = {s: len(sure.findall(text)) for s, sure in _SURE.items()}
+    return max("LCG", key=lambda s: (counts[s], s == "L"))
+
+
+# ------------------------------------------------------------------ the vocabulary of the corpus
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: set[str] = set()
-    mended: set[str] = set()
+    words: Counter = Counter()
 
     def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([*words, *mended], pa.string()), pa.array([True] * len(words) + [False] * len(mended))], names=["word", "is_word"])
+        spelled = list(words)
+        looks = [w.translate(_SKELETON) if not w.isascii() else w for w in spelled]
+        batch = pa.RecordBatch.from_arrays([pa.array(looks, pa.string()), pa.array(spelled, pa.string()), pa.array(list(words.values()), pa.int64())], names=["look", "word", "n"])
         words.clear()
-        mended.clear()
         return batch
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            if text is None:
-                continue
-            seen = set(_WORD.findall(plain(text)))
-            for token in [t for t in seen if not t.isascii()]:
-                if fixes := repairs(token):
-                    seen.discard(token)
-                    mended.update(fixes)
-            words |= seen
-        if len(words) + len(mended) > 200_000:  # hand over early: the set never grows with the partition
+            if text:
+                words.update(_WORD.findall(_utf8(plain(text))))
+        if len(words) > 300_000:  # hand over early: the counts never grow with the partition
             yield out()
     yield out()
 
 
-def vocabulary_of_repairs(df: DataFrame, text: str = "text") -> DataFrame:
-    """word: the repaired forms that occur somewhere in the corpus as ordinary words."""
-    found = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(_gather, "word string, is_word boolean")
-    return found.groupBy("word").agg(F.max("is_word").alias("a"), F.min("is_word").alias("b")).where("a and not b").select("word")
+def _utf8(text: str) -> str:
+    return text if text.isascii() else text.encode("utf-8", "replace").decode("utf-8")
 
 
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, tokens, words, ranks = [], [], [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text is None or text.isascii():
-                continue
-            for token in set(_WORD.findall(plain(text))):
-                for rank, word in enumerate(repairs(token)):
-                    ids.append(i)
-                    tokens.append(token)
-                    words.append(word)
-                    ranks.append(rank)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.string()), pa.array(words, pa.string()), pa.array(ranks, pa.int32())], names=["id", "token", "word", "rank"])
+def spellings(df: DataFrame, text: str = "text") -> DataFrame:
+    """look, words: of every look that the corpus spells in several ways the spellings in order of preference."""
+    found = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(_gather, "look string, word string, n long")
+    counted = found.groupBy("look", "word").agg(F.sum("n").alias("n"))
+    several = counted.groupBy("look").agg(F.min("word").alias("lo"), F.max("word").alias("hi")).where("lo <> hi").select("look")
+    rows = counted.join(several, "look", "left_semi").mapInArrow(_judge, "look string, word string, n long, scripts string")
+    # of each script the most written spelling, of mixed ones one: a look has as many entries as there are scripts
+    pure = F.when(F.length("scripts") == 1, F.col("scripts")).otherwise(F.lit("mixed"))
+    best = rows.groupBy("look", pure.alias("kind")).agg(F.min(F.struct((-F.col("n")).alias("n"), "word")).alias("b"))
+    return best.groupBy("look").agg(F.sort_array(F.collect_list(F.struct((F.col("kind") == "mixed").alias("mixed"), F.col("b.n").alias("n"), F.col("b.word").alias("word"), "kind"))).alias("words"))
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for text, fixes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if text is None:
-                texts.append(None)
-                continue
-            done = plain(text)
-            if fixes:
-                known = {f["token"]: f["word"] for f in fixes}
-                done = _WORD.sub(lambda m: known.get(m.group(), m.group()), done)  # noqa: B023
-            texts.append(done)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "uniform_text"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scripts_of(w) for w in batch.column(1).to_pylist()], pa.string())], names=["look", "word", "n", "scripts"])
 
 
-def uniform(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, uniform_text): every document's text in one readable form."""
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    known = vocabulary_of_repairs(df, text)
-    fixes = docs.mapInArrow(_mixed, "id long, token string, word string, rank int").join(known, "word", "left_semi")
-    fixes = fixes.groupBy("id", "token").agg(F.min_by("word", "rank").alias("word"))
-    fixes = fixes.groupBy("id").agg(F.collect_list(F.struct("token", "word")).alias("fixes"))  # the mixed tokens of one document
-    done = docs.join(fixes, "id", "left").select("id", "text", "fixes").mapInArrow(_apply, "id long, uniform_text string")
-    return done.select(F.col("id").alias(key), "uniform_text")
+def choose(words: list[dict], script: str) -> str:
+    """The spelling in the document's script, else the first that keeps to one script."""
+    return next((w["word"] for w in words if w["kind"] == script), words[0]["word"])
+
+
+def repair(text: str, known: dict[str, list[dict]]) -> str:
+    """The uniform text: every word of several spellings in the one that is chosen for this document."""
+    if text.isascii():
+        return text
+    done = plain(text)
+    script = main_script(done)
+
+    def write(match: re.Match) -> str:
+        word = match.group()
+        words = known.get(word if word.isascii() else word.translate(_SKELETON))
+        return word if words is None else choose(words, script)
 
+    # in a Latin text plain words are as they are to be
+    return unicodedata.normalize("NFC", (_ODD_WORD if script == "L" else _WORD).sub(write, done))
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _apply(known: dict[str, list[dict]] | None, keys: bool):
     digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = [None] * batch.num_rows if known is not None else batch.column(2).to_pylist()
+            texts = batch.column(1).to_pylist()
+            done = [None if t is None else repair(t, known if known is not None else {x["look"]: x["words"] for x in own or ()}) for t, own in zip(texts, given)]
+            if not keys:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t if t is None else _utf8(t) for t in done], pa.string())], names=["id", "uniform_text"])
+                continue
+            rows = [(i, digest(u), digest(t)) for i, t, u in zip(batch.column(0).to_pylist(), texts, done) if t is not None]
+            ids, look, raw = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(look, pa.binary()), pa.array(raw, pa.binary())], names=["id", "look_key", "raw_key"])
+
+    return apply
+
+
+def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, look, raw = [], [], []
+        rows = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text is not None:
-                ids.append(i)
-                raw.append(digest(text))
-                look.append(raw[-1] if text.isascii() else digest(skeleton(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(look, pa.binary()), pa.array(raw, pa.binary())], names=["id", "look_key", "raw_key"])
+            if text and not text.isascii():
+                rows += [(i, look) for look in {_utf8(w).translate(_SKELETON) for w in _WORD.findall(plain(text))}]
+        ids, looks = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(looks, pa.string())], names=["id", "look"])
+
+
+def _uniform(df: DataFrame, key: str, text: str, few: int, keys: bool) -> DataFrame:
+    docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    known = checkpoint(spellings(docs))
+    schema = "id long, look_key binary, raw_key binary" if keys else "id long, uniform_text string"
+    if known.count() <= few:  # proven small: to every worker
+        words = {r["look"]: [w.asDict() for w in r["words"]] for r in known.toLocalIterator()}
+        return docs.mapInArrow(_apply(words, keys), schema)
+    own = docs.mapInArrow(_looks, "id long, look string").join(known, "look")
+    own = own.groupBy("id").agg(F.collect_list(F.struct("look", "words")).alias("own"))  # the words of one document
+    return docs.join(own, "id", "left").select("id", "text", "own").mapInArrow(_apply(None, keys), schema)
 
 
-def look_keys(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, look_key, raw_key): 128-bit keys of a text's look and of its characters."""
-    return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(_keys, "id long, look_key binary, raw_key binary")
+def uniform(df: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
+    """(key, uniform_text): every document's text in one form, equal for two documents exactly if they look the same."""
+    return _uniform(df, key, text, few, False).select(F.col("id").alias(key), "uniform_text")
+
+
+def look_keys(df: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW) -> DataFrame:
+    """(id, look_key, raw_key): 128-bit keys of a document's uniform text and of its characters."""
+    return _uniform(df, key, text, few, True)
+
+
+def members(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_key): the documents whose look is spelled in several ways, and the smallest document of that look."""
+    keyed = checkpoint(look_keys(df, key, text))
+    several = keyed.groupBy("look_key").agg(F.min("raw_key").alias("lo"), F.max("raw_key").alias("hi"), F.min("id").alias("class_key")).where("lo <> hi").select("look_key", "class_key")
+    return keyed.join(several, "look_key").select(F.col("id").alias(key), "class_key")
 
 
 def same_look_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
