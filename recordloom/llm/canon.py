@@ -1,13 +1,15 @@
 """Free-entered values mapped to the entry of a reference list that is meant, or reported as unmatched.
 
-The reference forms (labels and aliases) stand in a BK-tree under the unrestricted Damerau-Levenshtein distance,
-a true metric, so the triangle inequality prunes every branch that cannot hold a form within the threshold and
-no entry within it is missed.  What people write around a value (levels, years, firms, contract kinds) is taken
+The reference forms (labels and aliases) stand in BK-trees under the Levenshtein distance, a true metric, so the
+triangle inequality prunes every branch that cannot hold a form within twice the threshold; the few that are left are
+measured by the Damerau-Levenshtein distance, which is at most that, and no entry within it is missed.  What people write around a value (levels, years, firms, contract kinds) is taken
 off step by step; a place is read in parts, and its country or region must agree with the city.
 
 Scale: the tree goes to the workers only behind a check of its size; a larger list is cut into shards of that
-size, every distinct value is looked up in each and the shard winners merge.  Lookups are narrow: a Python worker
-remembers what it has seen, so repeated values cost a dictionary access and no shuffle, however frequent.
+size, every distinct value is looked up in each, and a shard returns all entries of its nearest distance, so that ties
+are decided when the shards merge, by the same rule as in one tree.  The names of countries and regions, which tell
+places apart, go to every shard (``HINTS`` bounds them).  Lookups are narrow: a Python worker remembers what it has
+seen, so repeated values cost a dictionary access and no shuffle, however frequent.
 
 Defined results: blank values are not asked; stand-ins and everything too far from all entries give 0; a value
 equally near to several entries gives 0.
@@ -25,9 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.cells import strip
+from recordloom.runtime import checkpoint
 
 #: Reference entries that may go to each worker at once.
 SHARD = 50_000
+#: Different names of countries and regions that may go to each worker.
+HINTS = 200_000
 #: Ways to write a country besides its name: code and native or short forms.
 COUNTRIES = {
     "Argentina": "ar arg", "Australia": "au", "Austria": "at österreich oesterreich", "Belgium": "be belgique belgië belgie belgien", "Brazil": "br brasil bra", "Canada": "ca can",
@@ -200,91 +205,117 @@ class Canon:
             todo += [_BEFORE.sub("", t, count=1), *(after.sub("", t, count=1) for after in _AFTER)]
         return seen
 
-    def find(self, value: str) -> tuple[int, int]:
-        """(distance, entry id), entry 0 where none or several equally near ones fit."""
+    def look(self, value: str) -> tuple[int, int, set[int]]:
+        """(distance, which form it was found under, entries): the best that this tree holds; of several trees the least wins."""
         forms = list(dict.fromkeys(key_of(f) for f in self.forms(value)))
-        for form in forms:
+        for k, form in enumerate(forms):
             if ids := self.ids.get(form):
-                return 0, next(iter(ids)) if len(ids) == 1 else 0
-        best: tuple[int, set[int]] = (99, set())
-        for form in reversed(forms):  # what is left without wrapping first
+                return 0, k, ids
+        best: tuple[int, int, set[int]] = (99, 0, set())
+        for r, form in enumerate(reversed(forms)):  # what is left without wrapping first
             for d, near in self.tree.within(form, reach(form)):
-                if d < best[0]:
-                    best = (d, set(self.ids[near]))
-                elif d == best[0]:
-                    best[1].update(self.ids[near])
-            if best[0] == 1 and len(best[1]) == 1:
+                rank = (d, r if d == 1 else 0)
+                if rank < best[:2]:
+                    best = (*rank, set(self.ids[near]))
+                elif rank == best[:2]:
+                    best[2].update(self.ids[near])
+            if best[0] == 1:
                 break  # nothing can be nearer: no form is the same
-        return (best[0], next(iter(best[1]))) if len(best[1]) == 1 else (best[0], 0)
+        return best
+
+    def find(self, value: str) -> tuple[int, int]:
+        """(distance, entry id), entry 0 where none or several equally near ones fit."""
+        far, _, ids = self.look(value)
+        return far, only(ids)
+
+
+def only(ids: set[int]) -> int:
+    return next(iter(ids)) if len(ids) == 1 else 0
+
+
+class Hints:
+    """The names of all countries and regions, which tell places apart and are no cities."""
+
+    def __init__(self, regions: list[str], countries: list[str]) -> None:
+        self.regions = {key_of(r, True) for r in regions} - {""}
+        self.countries = {key_of(c, True): key_of(c, True) for c in countries if c}
+        for name, others in COUNTRIES.items():
+            for other in [name, *others.split()]:
+                self.countries[key_of(other.replace("_", " "), True)] = key_of(name, True)
+        self.tree = BKForest([h for h in [*self.regions, *self.countries] if len(h) > 4])
+        self.of = lru_cache(500_000)(self._of)
+
+    def _of(self, part: str) -> tuple[str | None, str | None]:
+        """(country, region) a part names; both for a name that is both."""
+        part = part.strip(". ") if part.strip(". ") in self.countries else part
+        country, region = self.countries.get(part), part if part in self.regions else None
+        if country is None and region is None and len(part) > 4:
+            for _, near in self.tree.within(part, 1):
+                return self.countries.get(near), near if near in self.regions else None
+        return country, region
 
 
 class Places:
     """Cities with the country and region that must agree."""
 
-    def __init__(self, entries: list[tuple[int, str, list[str], str | None, str | None]]) -> None:
+    def __init__(self, entries: list[tuple[int, str, list[str], str | None, str | None]], hints: Hints | None = None) -> None:
+        self.hints = hints or Hints([e[3] or "" for e in entries], [e[4] or "" for e in entries])
         self.cities: dict[str, set[int]] = {}
-        self.region: dict[int, str] = {}
-        self.country: dict[int, str] = {}
+        self.at: dict[int, tuple[str, str]] = {}
         for cid, label, aliases, region, country in entries:
             for form in [label, *aliases]:
                 city = form.rsplit(",", 1)[0] if country and form.lower().endswith(country.lower()) else form
                 self.cities.setdefault(key_of(city, True), set()).add(cid)
-            self.region[cid] = key_of(region or "", True)
-            self.country[cid] = key_of(country or "", True)
-        self.regions = set(self.region.values()) - {""}
-        self.countries = {key_of(c, True): key_of(c, True) for c in self.country.values() if c}
-        for name, others in COUNTRIES.items():
-            for other in [name, *others.split()]:
-                self.countries[key_of(other.replace("_", " "), True)] = key_of(name, True)
+            self.at[cid] = (key_of(country or "", True), key_of(region or "", True))
         self.tree = BKForest(list(self.cities))
-        self.hints = BKForest([h for h in [*self.regions, *self.countries] if len(h) > 4])
-        self._city, self._hint = lru_cache(500_000)(self._city), lru_cache(500_000)(self._hint)
+        self.city = lru_cache(500_000)(self._city)
 
-    def _city(self, part: str) -> tuple[int, set[int]]:
-        """(distance, entries) of the cities a part may mean."""
+    def _city(self, part: str) -> tuple[int, int, int, set[int]]:
+        """(exact or near, which form, distance, entries): the cities a part may mean; of several trees the least wins."""
+        if part.startswith("="):  # this very name
+            return (0, 0, 0, self.cities[part[1:]]) if part[1:] in self.cities else (9, 0, 99, set())
         tries = [part]
         while (less := _AROUND.sub("", tries[-1], count=1)) != tries[-1]:
             tries.append(less)
-        for t in tries:
+        for k, t in enumerate(tries):
             if t in self.cities:
-                return 0, self.cities[t]
-        if part in self.countries or part in self.regions:
-            return 99, set()
-        for t in reversed(tries):
+                return 0, k, 0, self.cities[t]
+        if part in self.hints.countries or part in self.hints.regions:
+            return 9, 0, 99, set()
+        for r, t in enumerate(reversed(tries)):
             near = self.tree.within(t, reach(t) if len(t) != 4 else 1)
             if near:
                 first = near[0][0]
-                return first, set().union(*(self.cities[f] for d, f in near if d == first))
-        return 99, set()
+                return 1, r, first, set().union(*(self.cities[f] for d, f in near if d == first))
+        return 9, 0, 99, set()
 
-    def _hint(self, part: str) -> tuple[str | None, str | None]:
-        """(country, region) a part names; both for a name that is both."""
-        part = part.strip(". ") if part.strip(". ") in self.countries else part
-        country, region = self.countries.get(part), part if part in self.regions else None
-        if country is None and region is None and len(part) > 4:
-            for _, near in self.hints.within(part, 1):
-                return self.countries.get(near), near if near in self.regions else None
-        return country, region
+    @staticmethod
+    def parts(value: str) -> list[str]:
+        return [p for p in (key_of(x, True).strip(" .") if not re.fullmatch(r"\s*\w+\.(?:\w+\.)*\s*", x) else key_of(x, True) for x in re.split(r"[,/()|;\n]|\s[-–—]\s", value)) if p]
 
     def find(self, value: str) -> tuple[int, int]:
-        whole = key_of(value, True)
-        parts = [p for p in (key_of(x, True).strip(" .") if not re.fullmatch(r"\s*\w+\.(?:\w+\.)*\s*", x) else key_of(x, True) for x in re.split(r"[,/()|;\n]|\s[-–—]\s", value)) if p]
-        best: tuple[int, set[int]] = (99, set())
-        for k, part in enumerate(parts):
-            d, ids = self._city(part)
-            ids = set(ids)
-            for other in parts[:k] + parts[k + 1 :]:
-                country, region = self._hint(other)
-                if country is None and region is None:
-                    same = self._city(other)
-                    ids = {i for i in ids if i in same[1]}  # a part that says nothing known speaks against the city
-                else:
-                    ids = {i for i in ids if (country and self.country[i] == country) or (region and self.region[i] == region)}
-            if ids and d < best[0]:
-                best = (d, ids)
-        if not best[1] and whole in self.cities:
-            best = (0, self.cities[whole])
-        return (best[0], next(iter(best[1]))) if len(best[1]) == 1 else (best[0], 0)
+        return place_of(value, lambda part: self.city(part)[2:], self.at, self.hints)
+
+
+def place_of(value: str, city, at: dict[int, tuple[str, str]], hints: Hints) -> tuple[int, int]:
+    """(distance, entry id) of a place from what its parts may mean; ``city``: part -> (distance, entries), ``at``: country and region."""
+    parts = Places.parts(value)
+    best: tuple[int, set[int]] = (99, set())
+    for k, part in enumerate(parts):
+        d, found = city(part)
+        ids = set(found)
+        for other in parts[:k] + parts[k + 1 :]:
+            country, region = hints.of(other)
+            if country is None and region is None:
+                ids &= city(other)[1]  # a part that says nothing known speaks against the city
+            else:
+                ids = {i for i in ids if (country and at[i][0] == country) or (region and at[i][1] == region)}
+        if ids and d < best[0]:
+            best = (d, ids)
+    if not best[1]:
+        whole = city("=" + key_of(value, True))[1]
+        best = (0, set(whole)) if whole else best
+    return best[0], only(best[1])
 
 
 #: What a worker has built and seen, by the entries it was given: later tasks of the same worker use it again.
@@ -329,18 +360,79 @@ def match(values: DataFrame, canon: DataFrame, shard: int = SHARD) -> DataFrame:
     entries = canon.select(*cols).where("label is not null and canon_id is not null")
     n = entries.count()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields) + ", far int, canon_id int"
-    rows = lambda df: sorted(tuple(r) for r in df.toLocalIterator())
+    rows = lambda df: sorted((tuple(r) for r in df.toLocalIterator()), key=repr)
     if n <= shard:  # proven small: to every worker
         return values.mapInArrow(_lookup(rows(entries)), schema)
-    parts = -(-n // shard)
-    asked = values.select("kind", "val").distinct()
-    won = None
-    for p in range(parts):  # one shard at a time holds on the driver; the winners of all shards merge below
-        own = rows(entries.where(F.pmod(F.xxhash64("canon_id"), F.lit(parts)) == p))
-        one = asked.mapInArrow(_lookup(own), "kind string, val string, far int, canon_id int")
-        won = one if won is None else won.unionByName(one)
-    best = won.where("canon_id <> 0").groupBy("kind", "val").agg(F.min(F.struct("far", "canon_id")).alias("m"))
-    return values.join(best, ["kind", "val"], "left").select(*values.columns, F.coalesce("m.far", F.lit(99)).alias("far"), F.coalesce("m.canon_id", F.lit(0)).alias("canon_id"))
+    hinted = {c: [r[0] for r in entries.select(c).distinct().where(f"{c} is not null").take(HINTS + 1)] for c in ("region_name", "country")}
+    if max(map(len, hinted.values())) > HINTS:
+        raise ValueError(f"more than {HINTS} names of regions or countries")
+    placed = [r["kind"] for r in entries.where("country is not null and country <> ''").select("kind").distinct().collect()]  # the kinds that are places
+    names = (hinted["region_name"], hinted["country"])
+    asked = checkpoint(values.select("kind", "val").distinct().mapInArrow(_questions(placed), "kind string, val string, part string"))
+    parts = asked.select("kind", "part").distinct()
+    said, shards = None, -(-n // shard)
+    for p in range(shards):
+        own = rows(entries.where(F.pmod(F.xxhash64("canon_id"), F.lit(shards)) == p))
+        one = parts.mapInArrow(_look_up(own, placed, names), "kind string, part string, a int, b int, far int, ids array<struct<id:int,country:string,region:string>>")
+        said = one if said is None else said.unionByName(one)
+    each = said.groupBy("kind", "part").agg(F.array_sort(F.collect_list(F.struct("a", "b", "far", "ids"))).alias("x"))  # one entry a shard
+    best = F.get("x", F.lit(0))
+    same = F.flatten(F.transform(F.filter("x", lambda y: (y["a"] == best["a"]) & (y["b"] == best["b"]) & (y["far"] == best["far"])), lambda y: y["ids"]))
+    won = each.select("kind", "part", best["far"].alias("far"), same.alias("ids"))
+    told = asked.join(won, ["kind", "part"]).groupBy("kind", "val").agg(F.collect_list(F.struct("part", "far", "ids")).alias("told"))  # the parts of one value
+    done = told.mapInArrow(_decide(placed, names), "kind string, val string, far int, canon_id int")
+    return values.join(done, ["kind", "val"], "left").select(*values.columns, F.coalesce("far", F.lit(99)).alias("far"), F.coalesce("canon_id", F.lit(0)).alias("canon_id"))
+
+
+def _questions(placed: list[str]):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for kind, val in zip(batch.column("kind").to_pylist(), batch.column("val").to_pylist()):
+                parts = dict.fromkeys([*Places.parts(val), "=" + key_of(val, True)]) if kind in placed else [val]
+                rows += [(kind, val, p) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else ((), (), ()))], names=["kind", "val", "part"])
+
+    return ask
+
+
+def _look_up(entries: list[tuple], placed: list[str], names: tuple[list[str], list[str]]):
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hints = Hints(*names)
+        finders: dict[str, Canon | Places] = {}
+        for kind in {e[1] for e in entries}:
+            own = [e for e in entries if e[1] == kind]
+            finders[kind] = Places([(e[0], e[2], e[3], e[4], e[5]) for e in own], hints) if kind in placed else Canon([(e[0], e[2], e[3]) for e in own])
+        for batch in batches:
+            rows = []
+            for kind, part in zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist()):
+                finder = finders.get(kind)
+                if isinstance(finder, Places):
+                    a, b, far, ids = finder.city(part)
+                    rows.append((kind, part, a, b, far, [{"id": i, "country": finder.at[i][0], "region": finder.at[i][1]} for i in sorted(ids)]))
+                elif finder is not None:
+                    far, b, ids = finder.look(part)
+                    rows.append((kind, part, far, b, far, [{"id": i, "country": "", "region": ""} for i in sorted(ids)]))
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.struct([("id", pa.int32()), ("country", pa.string()), ("region", pa.string())])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)], names=["kind", "part", "a", "b", "far", "ids"])
+
+    return look
+
+
+def _decide(placed: list[str], names: tuple[list[str], list[str]]):
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hints = Hints(*names)
+        for batch in batches:
+            far, ids = [], []
+            for kind, val, told in zip(*(batch.column(c).to_pylist() for c in ("kind", "val", "told"))):
+                own = {t["part"]: (t["far"], {i["id"] for i in t["ids"]}) for t in told}
+                at = {i["id"]: (i["country"], i["region"]) for t in told for i in t["ids"]}
+                d, one = place_of(val, lambda part: own.get(part, (99, set())), at, hints) if kind in placed else (own[val][0], only(own[val][1]))  # noqa: B023
+                far.append(d)
+                ids.append(one)
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("val"), pa.array(far, pa.int32()), pa.array(ids, pa.int32())], names=["kind", "val", "far", "canon_id"])
+
+    return decide
 
 
 def typed_values(df: DataFrame, src_table: str, row: str, field: str, kind: str, parts: Column) -> DataFrame:
