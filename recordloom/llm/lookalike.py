@@ -24,6 +24,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +54,8 @@ _FOLD = _HIDDEN | _SPACES
 _SKELETON = {ord(a): b for a, b in LOOK_ALIKE.items()}
 #: A word: letters with their accents, no marks of general punctuation.
 _REST = "\xc0-\xd6\xd8-\xf6\xf8-\u1fff\u2c00-\u2dff\u2e80-\U0010ffff"
-_WORD, _ODD_WORD = re.compile(f"[A-Za-z{_REST}]+"), re.compile(f"[A-Za-z]*[{_REST}][A-Za-z{_REST}]*")
+_WORD, _ODD = re.compile(f"[A-Za-z{_REST}]+"), re.compile(f"[{_REST}]")
+_PLAIN = frozenset(map(chr, [*range(65, 91), *range(97, 123)]))
 
 
 def _class(letters) -> str:
@@ -107,6 +109,16 @@ def skeleton(text: str) -> str:
     return text if text.isascii() else _RUN.sub(_LOOK_RUN, text)
 
 
+@lru_cache(300_000)
+def _look_of(word: str) -> str:
+    return word.translate(_SKELETON)
+
+
+def look_of(word: str) -> str:
+    """The look of a word whose accents are apart."""
+    return word if word.isascii() else _look_of(word) if len(word) < 40 else word.translate(_SKELETON)
+
+
 def script_of(c: str) -> str:
     o = ord(c)
     return "L" if o < 0x250 or 0x1E00 <= o < 0x1F00 else "G" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "C" if 0x400 <= o < 0x530 else "-"
@@ -119,8 +131,11 @@ def scripts_of(word: str) -> str:
 
 def main_script(text: str) -> str:
     """The script of most letters that look like none of another; Latin where there are none, or as many."""
-    counts = {s: len(sure.findall(text)) for s, sure in _SURE.items()}
-    return max("LCG", key=lambda s: (counts[s], s == "L"))
+    counts = {s: len(_SURE[s].findall(text)) for s in "CG" if _SURE[s].search(text)}
+    if not counts:
+        return "L"
+    counts["L"] = len(_SURE["L"].findall(text))
+    return max("LCG", key=lambda s: (counts.get(s, 0), s == "L"))
 
 
 # ------------------------------------------------------------------ the vocabulary of the corpus
@@ -131,8 +146,9 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         spelled = list(words)
-        looks = [w.translate(_SKELETON) if not w.isascii() else w for w in spelled]
-        batch = pa.RecordBatch.from_arrays([pa.array(looks, pa.string()), pa.array(spelled, pa.string()), pa.array(list(words.values()), pa.int64())], names=["look", "word", "n"])
+        looks = list(map(look_of, spelled))
+        kinds = [k if len(k := scripts_of(w)) == 1 else "mixed" for w in spelled]
+        batch = pa.RecordBatch.from_arrays([pa.array(looks, pa.string()), pa.array(spelled, pa.string()), pa.array(kinds, pa.string()), pa.array(list(words.values()), pa.int64())], names=["look", "word", "kind", "n"])
         words.clear()
         return batch
 
@@ -151,19 +167,13 @@ def _utf8(text: str) -> str:
 
 def spellings(df: DataFrame, text: str = "text") -> DataFrame:
     """look, words: of every look that the corpus spells in several ways the spellings in order of preference."""
-    found = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(_gather, "look string, word string, n long")
-    counted = found.groupBy("look", "word").agg(F.sum("n").alias("n"))
-    several = counted.groupBy("look").agg(F.min("word").alias("lo"), F.max("word").alias("hi")).where("lo <> hi").select("look")
-    rows = counted.join(several, "look", "left_semi").mapInArrow(_judge, "look string, word string, n long, scripts string")
+    found = df.select(F.col(f"`{text}`").alias("text")).mapInArrow(_gather, "look string, word string, kind string, n long")
+    # one shuffle: all that follows stays with the look
+    counted = found.repartition("look").groupBy("look", "word", "kind").agg(F.sum("n").alias("n"))
     # of each script the most written spelling, of mixed ones one: a look has as many entries as there are scripts
-    pure = F.when(F.length("scripts") == 1, F.col("scripts")).otherwise(F.lit("mixed"))
-    best = rows.groupBy("look", pure.alias("kind")).agg(F.min(F.struct((-F.col("n")).alias("n"), "word")).alias("b"))
-    return best.groupBy("look").agg(F.sort_array(F.collect_list(F.struct((F.col("kind") == "mixed").alias("mixed"), F.col("b.n").alias("n"), F.col("b.word").alias("word"), "kind"))).alias("words"))
-
-
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([scripts_of(w) for w in batch.column(1).to_pylist()], pa.string())], names=["look", "word", "n", "scripts"])
+    best = counted.groupBy("look", "kind").agg(F.min(F.struct((-F.col("n")).alias("n"), "word")).alias("b"), F.count("*").alias("several"))
+    entry = F.struct((F.col("kind") == "mixed").alias("mixed"), F.col("b.n").alias("n"), F.col("b.word").alias("word"), "kind")
+    return best.groupBy("look").agg(F.sort_array(F.collect_list(entry)).alias("words"), F.sum("several").alias("several")).where("several >= 2").select("look", "words")
 
 
 def choose(words: list[dict], script: str) -> str:
@@ -178,13 +188,23 @@ def repair(text: str, known: dict[str, list[dict]]) -> str:
     done = plain(text)
     script = main_script(done)
 
-    def write(match: re.Match) -> str:
-        word = match.group()
-        words = known.get(word if word.isascii() else word.translate(_SKELETON))
+    def write(word: str) -> str:
+        words = known.get(look_of(word))
         return word if words is None else choose(words, script)
 
-    # in a Latin text plain words are as they are to be
-    return unicodedata.normalize("NFC", (_ODD_WORD if script == "L" else _WORD).sub(write, done))
+    if script != "L":
+        return unicodedata.normalize("NFC", _WORD.sub(lambda m: write(m.group()), done))
+    # in a Latin text plain words are as they are to be: only words around another character are looked at
+    parts, last, odd = [], 0, _ODD.search(done)
+    while odd:
+        at = odd.start()
+        while at > last and done[at - 1] in _PLAIN:
+            at -= 1
+        word = _WORD.match(done, at).group()
+        parts += [done[last:at], write(word)]
+        last = at + len(word)
+        odd = _ODD.search(done, last)
+    return unicodedata.normalize("NFC", "".join([*parts, done[last:]]))
 
 
 def _apply(known: dict[str, list[dict]] | None, keys: bool):
@@ -198,7 +218,7 @@ def _apply(known: dict[str, list[dict]] | None, keys: bool):
             if not keys:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t if t is None else _utf8(t) for t in done], pa.string())], names=["id", "uniform_text"])
                 continue
-            rows = [(i, digest(u), digest(t)) for i, t, u in zip(batch.column(0).to_pylist(), texts, done) if t is not None]
+            rows = [(i, d if u is t else digest(u), d) for i, t, u, d in ((i, t, u, digest(t)) for i, t, u in zip(batch.column(0).to_pylist(), texts, done) if t is not None)]
             ids, look, raw = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(look, pa.binary()), pa.array(raw, pa.binary())], names=["id", "look_key", "raw_key"])
 
@@ -210,7 +230,7 @@ def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text and not text.isascii():
-                rows += [(i, look) for look in {_utf8(w).translate(_SKELETON) for w in _WORD.findall(plain(text))}]
+                rows += [(i, look) for look in {look_of(_utf8(w)) for w in _WORD.findall(plain(text))}]
         ids, looks = zip(*rows) if rows else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(looks, pa.string())], names=["id", "look"])
 
