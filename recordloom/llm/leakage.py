@@ -1,6 +1,6 @@
 """Passages of held-out test items inside a training corpus, whole or in part, letter by letter or nearly so.
 
-Every batch of documents is a shard with its own suffix array: the positions of its words in the order of all words
+Every lot of documents is a shard with its own suffix array: the positions of its words in the order of all words
 that follow, as far as a passage is long.  (Positions whose next three words stand nowhere in a passage can match no
 three words and are left out first.)  Every suffix of every passage is searched in it by bisection, which gives its
 longest verbatim match; all matches of three words and more are extended to their full length, and those of a document
@@ -42,8 +42,8 @@ RUNNING, LEAST, LOST = 20, 17, -2
 SHARED = 5
 #: Words that verbatim matches near one diagonal must cover before the exact look, and how near that is.
 CHAIN, NEAR = 8, 3
-#: Characters of passages that go to each worker at once, and matches that are chained at once.
-BLOCK, MATCHES = 20_000_000, 4_000_000
+#: Characters of passages that go to each worker at once, matches that are aligned at once, characters of a shard.
+BLOCK, MATCHES, SLICE = 20_000_000, 4_000_000, 4_000_000
 
 _OTHER = re.compile("[^\x00-\x7f]+")
 _MARKUP = re.compile(r"<[^<>]{1,200}>|[-‐\xad]\r?\n|&(?:#\w+|\w+);")
@@ -340,10 +340,24 @@ def _matches(items: Items, row: np.ndarray, begin: np.ndarray) -> Iterator[tuple
         yield doc, item, i - items.start[item], j - begin[doc], _longest(items.row, row, i, j)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str]]]:
+    """Documents in lots of so many characters that a shard fits a worker however long they are."""
+    for batch in batches:
+        lot, size = [], 0
+        for d, t in zip(batch.column(0), batch.column(1)):
+            text = t.as_py()
+            if text:
+                lot.append((d.as_py(), text))
+                size += len(text)
+            if size >= SLICE:
+                yield lot
+                lot, size = [], 0
+        yield lot
+
+
 def _search(items: Items):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t]
+        for texts in _slices(batches):
             words = [words_of(t) for _, t in texts]
             row, begin, _ = as_row(items.vocab, words)
             hits = [np.concatenate(c) for c in zip(*_matches(items, row, begin))]
