@@ -30,23 +30,30 @@ def phone_e164(c: Column, profile: str = "digits") -> Column:
     return common.when(n >= 7, F.concat(F.lit("+"), digits))
 
 
-def _ym(year: Column, month: Column) -> Column:
-    y, m = year.try_cast("int"), month.try_cast("int")
-    return F.when(y.between(1900, 2100) & m.between(1, 12), F.format_string("%04d-%02d", y, m))
+def _bound(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+#: The forms of a date, as year and month: Y-M(-D), M-Y, Month D Y, D Month Y, Month Y, Y.
+_DATE = r"^(?:(\d{4})[-/](\d{1,2})(?:[-/]\d{1,2})?|(\d{1,2})[/-](\d{4})|([A-Za-z]+)\s+\d{1,2}\s*,?\s*(\d{4})|\d{1,2}\s+([A-Za-z]+)\s*,?\s*(\d{4})|([A-Za-z]+)\s*,?\s*(\d{4})|(\d{4}))$"
+_YEAR, _MONTH = "$1$4$6$8$10$11", "$2$3$5$7$9"  # groups that do not take part are empty
 
 
 def date_ym(c: Column) -> Column:
     """``YYYY-MM`` of a date in one of the known forms; null for an open end or anything else."""
-    v = strip(c)
-    part = lambda rx, k: F.nullif(F.regexp_extract(v, rx, k), F.lit(""))
-    month = lambda rx, k: dims.lookup(dims.MONTHS, F.lower(part(rx, k)))
-    full, ym, my = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", r"^(\d{4})[-/](\d{1,2})$", r"^(\d{1,2})[/-](\d{4})$"
-    mdy, dmy, mon = r"^([A-Za-z]+)\s+(\d{1,2})\s*,?\s*(\d{4})$", r"^(\d{1,2})\s+([A-Za-z]+)\s*,?\s*(\d{4})$", r"^([A-Za-z]+)\s*,?\s*(\d{4})$"
-    found = F.coalesce(
-        _ym(part(full, 1), part(full, 2)), _ym(part(ym, 1), part(ym, 2)), _ym(part(my, 2), part(my, 1)),
-        _ym(part(mdy, 3), month(mdy, 1)), _ym(part(dmy, 3), month(dmy, 2)), _ym(part(mon, 2), month(mon, 1)), _ym(part(r"^(\d{4})$", 1), F.lit("1")),
-    )
-    return F.when(~F.lower(v).isin(*dims.PRESENT), found)
+    mark = "\u0001"
+
+    def of(p: Column) -> Column:  # [year, month]
+        y, m = F.get(p, F.lit(0)).try_cast("int"), F.get(p, F.lit(1))
+        month = F.when(m == "", 1).otherwise(F.coalesce(m.try_cast("int"), dims.lookup(dims.MONTHS, F.lower(m))))
+        return _bound(month, lambda n: F.when(y.between(1900, 2100) & n.between(1, 12), F.format_string("%04d-%02d", y, n)))
+
+    def read(v: Column) -> Column:
+        parts = F.split(F.regexp_replace(F.translate(v, mark, ""), _DATE, _YEAR + mark + _MONTH), mark)
+        return F.when(~F.lower(v).isin(*dims.PRESENT), _bound(parts, of))
+
+    return _bound(strip(c), read)
 
 
 def year_of(c: Column) -> Column:
@@ -54,10 +61,15 @@ def year_of(c: Column) -> Column:
 
 
 def country_iso2(c: Column) -> Column:
-    v = strip(c)
-    low, names = F.lower(v), dims.country_aliases()
-    less = lambda prefix: F.when(low.startswith(prefix), dims.lookup(names, F.substring(low, len(prefix) + 1, 10_000)))
-    return F.coalesce(F.when((F.length(v) == 2) & F.upper(v).isin(*dims.valid_codes()), F.upper(v)), dims.lookup(names, low), less("the "), less("republic of "))
+    names = dims.country_aliases()
+
+    def read(v: Column) -> Column:
+        low = F.lower(v)
+        less = lambda prefix: F.when(low.startswith(prefix), F.substring(low, len(prefix) + 1, 10_000))
+        found = F.filter(F.transform(F.array(low, less("the "), less("republic of ")), lambda k: dims.lookup(names, k)), lambda x: x.isNotNull())
+        return F.when((F.length(v) == 2) & F.upper(v).isin(*dims.CODES), F.upper(v)).otherwise(F.get(found, F.lit(0)))
+
+    return _bound(strip(c), read)
 
 
 def title_case(c: Column) -> Column:
@@ -68,9 +80,12 @@ def title_case(c: Column) -> Column:
 
 def skill_name(c: Column) -> Column:
     """The canonical name; an unknown all-lower-case skill gets capitals, any other stays as it is."""
-    v = strip(c)
-    unknown = F.when((v == F.lower(v)) & (v != F.upper(v)), title_case(v)).otherwise(v)
-    return F.coalesce(dims.lookup(dims.skill_aliases(), F.lower(v)), unknown)
+
+    def read(v: Column) -> Column:
+        unknown = F.when((v == F.lower(v)) & (v != F.upper(v)), title_case(v)).otherwise(v)
+        return F.coalesce(dims.lookup(dims.skill_aliases(), F.lower(v)), unknown)
+
+    return _bound(strip(c), read)
 
 
 def url_key(c: Column) -> Column:

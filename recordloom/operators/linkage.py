@@ -3,7 +3,8 @@
 Every identifier (mail, phone, linkedin, github) and every pair of name and company or title becomes a token;
 records that share a token are tied to the token's smallest record, so the edges are linear in the tokens
 however many records share one.  Labels then take the least label of their neighbours and jump along pointers
-until nothing changes; each round is cut off with checkpoint().
+until nothing changes; each round is cut off with checkpoint().  Links that are counted to be few are followed in one
+task instead, with the same result.
 
 ``ignore_stand_ins`` leaves out cells such as ``n/a`` that would tie strangers together; without it only blanks
 are left out.
@@ -11,6 +12,10 @@ are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +24,10 @@ from recordloom.functions.cells import present
 from recordloom.runtime import checkpoint
 
 
+#: Links (both ways) that one task may follow.
+FEW = 500_000
+
+
 def tokens(ext: DataFrame, ignore_stand_ins: bool = False) -> DataFrame:
     """(ext_id, kind, key1, key2), one row per token of an extraction."""
     clean = present if ignore_stand_ins else N.blank_to_null
@@ -49,9 +58,29 @@ def edges(toks: DataFrame) -> DataFrame:
     return toks.join(shared, key).where("ext_id <> v").select(F.col("ext_id").alias("u"), "v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _least_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rounds over links that fit one task."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    ids, at = np.unique(np.concatenate([x for p in parts for x in p]) if parts else np.zeros(0, np.int64), return_inverse=True)
+    cut = np.cumsum([0] + [len(p[0]) for p in parts for _ in (0, 1)])
+    u = np.concatenate([at[cut[2 * k] : cut[2 * k + 1]] for k in range(len(parts))]) if parts else at
+    v = np.concatenate([at[cut[2 * k + 1] : cut[2 * k + 2]] for k in range(len(parts))]) if parts else at
+    label = np.arange(len(ids))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, u, label[v])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[label], pa.int64())], names=["ext_id", "root"])
+
+
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """(ext_id, root) for every extraction that has a link; root is the least of its component."""
     both = checkpoint(links.select("u", "v").union(links.select("v", "u")).toDF("u", "v").distinct())
+    if both.count() <= few:
+        return checkpoint(both.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_least_labels, "ext_id long, root long"))
     labels = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))

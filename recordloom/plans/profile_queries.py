@@ -30,9 +30,8 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "student1_english")
     exp = F.transform("experience", lambda e: F.struct(e["company"], e["title"], e["start_date"], e["end_date"], e["summary"]).cast("struct<company:string,title:string,start_date:string,end_date:string,summary:string>"))
     edu = F.transform("education", lambda e: F.struct(e["institution"].alias("institution"), e["degree"].alias("degree"), e["field_of_study"].alias("field_of_study"), e["end_year"].cast("string").alias("year"), F.lit(None).cast("string").alias("summary")))
-    flat = records.from_rows(people.drop("experience", "education", "total_years_experience"), "ext_id", "ats_json", "source_file").drop("experience", "education")
-    more = people.select("ext_id", F.coalesce(exp, F.array().cast(EXPERIENCE)).alias("experience"), edu.alias("education"))
-    parts.append(flat.join(more, "ext_id"))
+    people = people.withColumn("experience", F.coalesce(exp, F.array().cast(EXPERIENCE))).withColumn("education", edu).drop("total_years_experience")
+    parts.append(records.from_rows(people, "ext_id", "ats_json", "source_file", lists=True))
     parts.append(records.from_rows(table(spark, sf_dir, "edge_case_structured"), "ext_id", "recruiter_notes", "source_file"))
     every = parts[0]
     for p in parts[1:]:
@@ -172,6 +171,19 @@ def fuse_profiles(spark, sf_dir):
     return report.summary(p)
 
 
+def fused_profile(spark, sf_dir):
+    """The whole profile, its lists in their order."""
+    ext = extractions(spark, sf_dir)
+    p = fusion.fuse(ext, linkage.link(ext, ignore_stand_ins=True), AS_OF)
+    text = lambda *cs: F.concat_ws("/", *[F.coalesce(c.cast("string"), F.lit("")) for c in cs])
+    each = lambda c, *fields: F.array_join(F.transform(c, lambda x: text(*[x[f] for f in fields])), "|").alias(c)
+    skills = F.array_join(F.transform("skills", lambda x: F.concat_ws("/", x["name"], x["confidence"].cast("string"), F.array_join(x["sources"], "+"))), "|").alias("skills")
+    return p.select(
+        "candidate_id", "full_name", F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"), "location.city", "location.region", "location.country", "links.linkedin", "links.github", "total_years_experience", skills,
+        each("experience", "company", "title", "start", "end", "summary"), each("education", "institution", "degree", "field"), each("provenance", "field", "source"), "overall_confidence",
+    )
+
+
 def overall_confidence(spark, sf_dir):
     ext = extractions(spark, sf_dir)
     p = fusion.fuse(ext, linkage.link(ext, ignore_stand_ins=True), AS_OF)
@@ -224,13 +236,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         extract_emails, extract_phones, extract_location, phone_e164, date_ym, skill_canonical, country_iso, url_key, content_dedup, csv_extraction, json_keys, resume_person, link_tokens, link_components,
-        merge_priority, name_agreement, merged_emails, merged_phones, merged_location, merged_links, merged_skills, experience_dedup, experience_years, education_first, provenance_distinct, fuse_profiles,
+        merge_priority, name_agreement, merged_emails, merged_phones, merged_location, merged_links, merged_skills, experience_dedup, experience_years, education_first, provenance_distinct, fuse_profiles, fused_profile,
         overall_confidence, project_custom, project_fanout, project_required, validate_semantic, report_summary, report_cards,
     )
 }
 
 # ------------------------------------------------------------------ the same in SQL
-# What reads _MEMBERS has groups by linkedin profile alone: of merge_priority ... provenance_distinct it is a part, not the same.
 
 _WS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
 
@@ -293,13 +304,8 @@ def _skill_table() -> str:
     return "skill_alias(k, v) as (values " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in sorted(dims.skill_aliases().items())) + ")"
 
 
-# The three-letter codes of dims.COUNTRIES, in its order, without the one that has none.
-_ALPHA3 = "ind usa can aus deu fra jpn chn bra sgp kor nld ita esp swe che irl isr nzl mex rus zaf are idn mys tha phl pak bgd nga egy pol arg col chl prt aut dnk nor fin bel cze rou vnm twn hkg lka ken tur ukr grc hun".split()
-
-
 def _country_table() -> str:
-    known = dict(zip(_ALPHA3, [c for c in dims.COUNTRIES if c != dims.NO_ALPHA3])) | {c.lower(): c for c in dims.COUNTRIES} | dims._listed(dims.COUNTRIES)
-    return "country_alias(k, v) as (values " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in sorted(known.items())) + ")"
+    return "country_alias(k, v) as (values " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in sorted(dims.country_aliases().items())) + ")"
 
 
 def _title(x: str) -> str:
@@ -316,11 +322,22 @@ _EXT = "ext as (" + " union all ".join(
     f"select ext_id, '{s}' as source_name, {dims.PRIORITY[s]} as pri, {_cell('name')} as full_name, {_cell('email')} as email, {_cell('phone')} as phone, {_cell(c)} as company, {_cell('title')} as title, {_cell('location')} as location, {_cell('skills')} as skills, {_cell('linkedin')} as linkedin, {_cell(g)} as github from {t}"
     for t, s, c, g in (("candidates", "csv", "current_company", "cast(null as varchar)"), ("student1_english", "ats_json", "company", "github"), ("edge_case_structured", "recruiter_notes", "current_company", "github"))
 ) + ")"
-_MEMBERS = (
-    f"{_EXT}, keyed as (select ext_id, {_PROFILE} as k from ext where {_PROFILE} <> '' and {_PROFILE} not in ('me', 'n/a', 'na', 'none', 'null', 'unknown', 'profile')), "
-    "roots as (select ext_id, min(ext_id) over (partition by k) as root from keyed), "
-    "m as (select ext.*, root, row_number() over (partition by root order by -pri, source_name, ext.ext_id) as ord from ext join roots using (ext_id))"
-)
+
+
+def _groups() -> str:
+    """roots: every record with the smallest record that it is linked to, directly or through others."""
+    return (
+        f"{_EXT}, {_tokens()}, star as (select distinct ext_id as u, min(ext_id) over (partition by kind, key1, key2) as v from tok), edge as (select u, v from star where u <> v union select v, u from star where u <> v), "
+        "reach(a, b) as (select u, u from edge union select r.a, e.v from reach r join edge e on e.u = r.b), "
+        "roots as (select ext.ext_id, coalesce(min(b), ext.ext_id) as root from ext left join reach on reach.a = ext.ext_id group by ext.ext_id)"
+    )
+
+
+def _same_letters(a: str, b: str) -> str:
+    """Letters that differ: DuckDB counts bytes, so every other letter of the two becomes a capital, which they have none of."""
+    other = f"array_to_string(list_distinct(regexp_extract_all(lower({a}) || lower({b}), '[^\\x00-\\x7f]')), '')"
+    plain = lambda x: f"translate(lower({x}), {other}, left('ABCDEFGHIJKLMNOPQRSTUVWXYZ', length({other})))"
+    return f"levenshtein({plain(a)}, {plain(b)}) < 3"
 
 
 def _resolve(field: str, agree: str) -> str:
@@ -332,18 +349,19 @@ def _resolve(field: str, agree: str) -> str:
     )
 
 
-def _list_of(split: str, key: str, value: str) -> str:
+def _list_of(p: str, split: str, key: str, value: str) -> str:
+    """``p``_lst: the first of each distinct value of a list field, with its place."""
     return (
-        f"l as (select root, source_name, ord, unnest({split}) as raw, unnest(range(len({split}))) as pos from m), k as (select *, {key} as key from l), "
-        "f as (select *, row_number() over (partition by root, key order by ord, pos) as nth from k where key is not null), "
-        f"lst as (select root, source_name as source, ord, pos, {value} as value from f where nth = 1)"
+        f"{p}_l as (select root, source_name, ord, unnest({split}) as raw, unnest(range(len({split}))) as pos from m), {p}_k as (select *, {key} as key from {p}_l), "
+        f"{p}_f as (select *, row_number() over (partition by root, key order by ord, pos) as nth from {p}_k where key is not null), "
+        f"{p}_lst as (select root, source_name as source, ord, pos, {value} as value from {p}_f where nth = 1)"
     )
 
 
 _MAILS, _PHONES = _split("email"), _split("phone")
 _LOC = (
     f"p as (select root, source_name, ord, {_split('location', ',')} as parts from m), q as (select *, case when len(parts) >= 1 then parts[1] end as city, case when len(parts) >= 2 then parts[2] end as region, case when len(parts) >= 3 then parts[3] end as raw, row_number() over (partition by root order by ord) as nth from p where len(parts) > 0), "
-    f"{_country_table()}, loc as (select root, city, region, coalesce(ca.v, case when regexp_matches(raw, '^[A-Za-z]{{2}}$') and upper(raw) not in ({_quote(dims.NOT_VALID)}) then upper(raw) end, raw) as country, source_name as source from q left join country_alias ca on ca.k = lower(raw) where nth = 1)"
+    f"{_country_table()}, loc as (select root, city, region, coalesce(ca.v, case when regexp_matches(raw, '^[A-Za-z]{{2}}$') and upper(raw) in ({_quote(dims.CODES)}) then upper(raw) end, raw) as country, source_name as source from q left join country_alias ca on ca.k = lower(raw) where nth = 1)"
 )
 _SKILLS = (
     f"s as (select root, source_name, ord, unnest({_split('skills', '[;,|]')}) as raw, unnest(range(len({_split('skills', '[;,|]')}))) as pos from m), {_skill_table()}, "
@@ -353,7 +371,11 @@ _SKILLS = (
 _JOBS = (
     "e as (select root, ord, source_name, unnest(experience) as x, unnest(range(len(experience))) as pos from m join student1_english t using (ext_id)), "
     f"e2 as (select *, row_number() over (partition by root, lower(coalesce({_blank('x.start_date')}, '')) order by ord, pos) as nth from e), "
-    f"jobs as (select root, {_blank('x.company')} as company, {_blank('x.title')} as title, {_ym('x.start_date')} as start_ym, {_ym('x.end_date')} as end_ym from e2 where nth = 1)"
+    f"jobs as (select root, ord, pos, source_name as source, {_blank('x.company')} as company, {_blank('x.title')} as title, {_ym('x.start_date')} as start_ym, {_ym('x.end_date')} as end_ym, {_blank('x.summary')} as summary from e2 where nth = 1)"
+)
+_STUDIES = (
+    "d as (select root, ord, source_name, unnest(education) as x, unnest(range(len(education))) as pos from m join student1_english t using (ext_id)), d2 as (select *, row_number() over (partition by root order by ord, pos) as nth from d), "
+    f"studies as (select root, source_name as source, {_blank('x.institution')} as institution, {_blank('x.degree')} as degree, {_blank('x.field_of_study')} as field_of_study from d2 where nth = 1)"
 )
 _MONTHS = "((left(coalesce(end_ym, '{0}'), 4)::int - left(start_ym, 4)::int) * 12 + right(coalesce(end_ym, '{0}'), 2)::int - right(start_ym, 2)::int)".format(AS_OF)
 
@@ -376,6 +398,27 @@ def _tokens() -> str:
     return "tok as (" + " union ".join(parts) + ")"
 
 
+_MEMBERS = f"{_groups()}, m as (select ext.*, root, row_number() over (partition by root order by -pri, source_name, ext.ext_id) as ord from ext join roots using (ext_id))"
+_MAIL_LIST, _PHONE_LIST = _list_of("mail", _MAILS, "lower(raw)", "raw"), _list_of("phone", _PHONES, _e164("raw"), "key")
+_NAMES = _resolve("full_name", _same_letters("v", "head"))
+_LINKS = "fl as (select source_name, root, 'links.linkedin' as field, row_number() over (partition by root order by ord) as nth from m where linkedin is not null union all select source_name, root, 'links.github', row_number() over (partition by root order by ord) from m where github is not null)"
+_PROVENANCE = (
+    "prov as (select root, 'full_name' as field, source from res union select root, 'email', source from mail_lst union select root, 'phone', source from phone_lst union select root, 'location', source from loc union select root, field, source_name from fl where nth = 1 "
+    "union select root, 'skill:' || name, unnest(src) from sk union select root, 'experience:' || coalesce(company, ''), source from jobs union select root, 'education:' || coalesce(institution, ''), source from studies)"
+)
+_WHOLE = f"{_MEMBERS}, {_NAMES}, {_MAIL_LIST}, {_PHONE_LIST}, {_LOC}, {_LINKS}, {_SKILLS}, {_JOBS}, {_STUDIES}, {_PROVENANCE}"
+_COUNTED = (
+    "size as (select root, count(distinct source_name) as n from m group by root), "
+    + ", ".join(f"n_{n} as (select root, count(*)::int as n from {t} group by root)" for n, t in (("emails", "mail_lst"), ("phones", "phone_lst"), ("skills", "sk"), ("experience", "jobs"), ("education", "studies")))
+    + ", scored as (select size.root, res.value as full_name, "
+    + ", ".join(f"coalesce(n_{n}.n, 0) as n_{n}" for n in ("emails", "phones", "skills", "experience", "education"))
+    + ", 0.5 + least(size.n, 4) * 0.1 + 0.02 * ((res.value is not null)::int + (n_emails.n is not null)::int + (n_phones.n is not null)::int + (n_experience.n is not null)::int + (n_skills.n is not null)::int + (n_education.n is not null)::int) "
+    "+ coalesce(adjustment, 0) + case when size.n >= 2 and res.value is not null then 0.05 else 0 end - case when res.value is null then 0.05 else 0 end - case when n_emails.n is null then 0.05 else 0 end as score "
+    "from size left join res using (root) " + " ".join(f"left join n_{n} using (root)" for n in ("emails", "phones", "skills", "experience", "education")) + "), "
+    "conf as (select *, round(greatest(0, least(1, score)), 2)::double as overall_confidence from scored)"
+)
+
+
 def _json_oracle() -> str:
     pick = lambda f: "coalesce(" + ", ".join(f"nullif(json_extract_string(payload, '$.{k}'), 'null')" for k in dims.KEYS[f]) + ")"
     cell = lambda f: f"case when not regexp_matches({_blank(pick(f))}, '^[\\[{{]') then {_blank(pick(f))} end as {f}"
@@ -394,28 +437,37 @@ ORACLE = {
     "phone_e164": f"select ext_id, {_e164('phone')} as digits_rule, {_e164('phone', True)} as library_rule from candidates",
     "date_ym": f"with e as (select ext_id, unnest(experience) as x, unnest(range(len(experience))) as pos from student2_indian) select ext_id, pos::int as pos, {_ym('x.start_date')} as start_ym, {_ym('x.end_date')} as end_ym from e",
     "skill_canonical": f"with {_skill_table()}, s as (select ext_id, unnest({_split('skills')}) as raw, unnest(range(len({_split('skills')}))) as pos from student1_english) select ext_id, pos::int as pos, {_skill('s.raw', 'sa')} as skill from s left join skill_alias sa on sa.k = lower(s.raw)",
-    "country_iso": f"with {_country_table()} select ext_id, coalesce(ca.v, case when regexp_matches({_strip('location.country')}, '^[A-Za-z]{{2}}$') and upper({_strip('location.country')}) not in ({_quote(dims.NOT_VALID)}) then upper({_strip('location.country')}) end) as iso from student2_indian left join country_alias ca on ca.k = lower({_strip('location.country')})",
+    "country_iso": f"with {_country_table()} select ext_id, coalesce(ca.v, case when regexp_matches({_strip('location.country')}, '^[A-Za-z]{{2}}$') and upper({_strip('location.country')}) in ({_quote(dims.CODES)}) then upper({_strip('location.country')}) end) as iso from student2_indian left join country_alias ca on ca.k = lower({_strip('location.country')})",
     "url_key": f"select ext_id, {_url('linkedin')} as key from candidates",
     "content_dedup": "select min(doc_id) as doc_id from documents group by md5(text)",
     "csv_extraction": f"with {_EXT}, p as (select *, {_split('location', ',')} as parts from ext where source_name = 'csv') select ext_id, full_name, array_to_string({_MAILS}, '|') as emails, array_to_string({_PHONES}, '|') as phones, array_to_string({_split('skills', '[;,|]')}, '|') as skills, company, title, "
     "case when len(parts) >= 1 then parts[1] end as location_city, case when len(parts) >= 2 then parts[2] end as location_region, case when len(parts) >= 3 then parts[3] end as location_country, linkedin from p",
     "json_keys": _json_oracle(),
     "link_tokens": f"with {_EXT}, {_tokens()} select ext_id, kind, key1, key2 from tok",
-    "link_components": f"with recursive {_EXT}, {_tokens()}, star as (select distinct ext_id as u, min(ext_id) over (partition by kind, key1, key2) as v from tok), edge as (select u, v from star where u <> v union select v, u from star where u <> v), "
-    "reach(a, b) as (select u, u from edge union select r.a, e.v from reach r join edge e on e.u = r.b) select ext.ext_id, coalesce(min(b), ext.ext_id) as root from ext left join reach on reach.a = ext.ext_id group by ext.ext_id",
-    "merge_priority": f"with {_MEMBERS}, {_resolve('company', 'lower(v) = lower(head)')} select root, value as company, source, adjustment from res",
-    "name_agreement": f"with {_MEMBERS}, odd as (select distinct root from m where not regexp_matches(coalesce(full_name, ''), '^[\\x00-\\x7f]*$')), {_resolve('full_name', 'levenshtein(lower(v), lower(head)) < 3')} select root, value as full_name, source, adjustment from res where root not in (select root from odd)",
-    "merged_emails": f"with {_MEMBERS}, {_list_of(_MAILS, f'lower(raw)', 'raw')} select root, string_agg(value, '|' order by ord, pos) as emails from lst group by root",
-    "merged_phones": f"with {_MEMBERS}, {_list_of(_PHONES, _e164('raw'), 'key')} select root, string_agg(value, '|' order by ord, pos) as phones from lst group by root",
-    "merged_location": f"with {_MEMBERS}, {_LOC} select root, city, region, country, source from loc",
-    "merged_links": f"with {_MEMBERS} select root, arg_min(linkedin, ord) filter (linkedin is not null) as linkedin, arg_min(source_name, ord) filter (linkedin is not null) as linkedin_source, arg_min(github, ord) filter (github is not null) as github, arg_min(source_name, ord) filter (github is not null) as github_source from m group by root",
-    "merged_skills": f"with {_MEMBERS}, {_SKILLS} select root, key, name, array_to_string(src, '|') as sources, case len(src) when 1 then 0.6 when 2 then 0.8 else 0.95 end::double as confidence from sk",
-    "experience_dedup": f"with {_MEMBERS}, {_JOBS} select root, company, title, start_ym, end_ym from jobs",
-    "experience_years": f"with {_MEMBERS}, {_JOBS} select root, round_even(sum({_MONTHS}) / 12.0, 1)::double as total_years_experience from jobs where start_ym is not null and {_MONTHS} > 0 group by root",
-    "education_first": f"with {_MEMBERS}, e as (select root, ord, unnest(education) as x, unnest(range(len(education))) as pos from m join student1_english t using (ext_id)), e2 as (select *, row_number() over (partition by root order by ord, pos) as nth from e) select root, {_blank('x.institution')} as institution, {_blank('x.degree')} as degree, {_blank('x.field_of_study')} as field_of_study from e2 where nth = 1",
-    "provenance_distinct": f"with {_MEMBERS}, {_list_of(_MAILS, 'lower(raw)', 'raw')}, {_SKILLS}, {_LOC}, {_list_of(_PHONES, _e164('raw'), 'key').replace('l as', 'pl as').replace('from l)', 'from pl)').replace(' k as', ' pk as').replace('from k ', 'from pk ').replace('f as', 'pf as').replace('from f ', 'from pf ').replace('lst as', 'plst as')}, "
-    "fl as (select source_name, root, 'links.linkedin' as field, row_number() over (partition by root order by ord) as nth from m where linkedin is not null union all select source_name, root, 'links.github', row_number() over (partition by root order by ord) from m where github is not null) "
-    "select root, 'email' as field, source from lst union select root, 'phone', source from plst union select root, 'location', source from loc union select root, field, source_name from fl where nth = 1 union select root, 'skill:' || name, unnest(src) from sk",
+    "link_components": f"with recursive {_groups()} select ext_id, root from roots",
+    "merge_priority": f"with recursive {_MEMBERS}, {_resolve('company', 'lower(v) = lower(head)')} select root, value as company, source, adjustment from res",
+    "name_agreement": f"with recursive {_MEMBERS}, {_NAMES} select root, value as full_name, source, adjustment from res",
+    "merged_emails": f"with recursive {_MEMBERS}, {_MAIL_LIST} select root, string_agg(value, '|' order by ord, pos) as emails from mail_lst group by root",
+    "merged_phones": f"with recursive {_MEMBERS}, {_PHONE_LIST} select root, string_agg(value, '|' order by ord, pos) as phones from phone_lst group by root",
+    "merged_location": f"with recursive {_MEMBERS}, {_LOC} select root, city, region, country, source from loc",
+    "merged_links": f"with recursive {_MEMBERS} select root, arg_min(linkedin, ord) filter (linkedin is not null) as linkedin, arg_min(source_name, ord) filter (linkedin is not null) as linkedin_source, arg_min(github, ord) filter (github is not null) as github, arg_min(source_name, ord) filter (github is not null) as github_source from m group by root",
+    "merged_skills": f"with recursive {_MEMBERS}, {_SKILLS} select root, key, name, array_to_string(src, '|') as sources, case len(src) when 1 then 0.6 when 2 then 0.8 else 0.95 end::double as confidence from sk",
+    "experience_dedup": f"with recursive {_MEMBERS}, {_JOBS} select root, company, title, start_ym, end_ym from jobs",
+    "experience_years": f"with recursive {_MEMBERS}, {_JOBS} select root, round_even(sum({_MONTHS}) / 12.0, 1)::double as total_years_experience from jobs where start_ym is not null and {_MONTHS} > 0 group by root",
+    "education_first": f"with recursive {_MEMBERS}, {_STUDIES} select root, institution, degree, field_of_study from studies",
+    "provenance_distinct": f"with recursive {_WHOLE} select root, field, source from prov",
+    "fuse_profiles": f"with recursive {_WHOLE}, {_COUNTED} select sha256(root::varchar) as candidate_id, full_name, overall_confidence, n_emails, n_phones, n_skills, n_experience, n_education, array_to_string(list_sort(list(distinct prov.source)), ', ') as sources from conf left join prov using (root) group by all",
+    "overall_confidence": f"with recursive {_WHOLE}, {_COUNTED} select root, overall_confidence from conf",
+    "fused_profile": f"with recursive {_WHOLE}, {_COUNTED}, "
+    "t1 as (select root, string_agg(value, '|' order by ord, pos) as emails from mail_lst group by root), t2 as (select root, string_agg(value, '|' order by ord, pos) as phones from phone_lst group by root), "
+    "t3 as (select root, arg_min(linkedin, ord) filter (linkedin is not null) as linkedin, arg_min(github, ord) filter (github is not null) as github from m group by root), "
+    "t4 as (select root, string_agg(name || '/' || (case len(src) when 1 then 0.6 when 2 then 0.8 else 0.95 end)::double::varchar || '/' || array_to_string(src, '+'), '|' order by key) as skills from sk group by root), "
+    "t5 as (select root, string_agg(coalesce(company, '') || '/' || coalesce(title, '') || '/' || coalesce(start_ym, '') || '/' || coalesce(end_ym, '') || '/' || coalesce(summary, ''), '|' order by coalesce(start_ym, '0000-00') desc, ord, pos) as experience from jobs group by root), "
+    f"t6 as (select root, round_even(sum({_MONTHS}) / 12.0, 1)::double as total_years_experience from jobs where start_ym is not null and {_MONTHS} > 0 group by root), "
+    "t7 as (select root, string_agg(field || '/' || source, '|' order by field, source) as provenance from prov group by root) "
+    "select sha256(root::varchar) as candidate_id, full_name, coalesce(emails, '') as emails, coalesce(phones, '') as phones, city, region, country, linkedin, github, total_years_experience, coalesce(t4.skills, '') as skills, coalesce(t5.experience, '') as experience, "
+    "case when studies.root is null then '' else coalesce(institution, '') || '/' || coalesce(degree, '') || '/' || coalesce(field_of_study, '') end as education, coalesce(provenance, '') as provenance, overall_confidence "
+    "from conf left join t1 using (root) left join t2 using (root) left join loc using (root) left join t3 using (root) left join t4 using (root) left join t5 using (root) left join t6 using (root) left join studies using (root) left join t7 using (root)",
     "project_custom": f"select candidate_id, full_name, emails[1] as primary_email, coalesce({_e164('phones[1]')}, phones[1]) as primary_phone, location.country as country, cast(null as varchar) as path, overall_confidence from ({_RESULTS})",
     "project_fanout": f"with {_skill_table()}, r as ({_RESULTS}), s as (select candidate_id, unnest(list_transform(skills, lambda x: {_strip('x.name')})) as raw, unnest(range(len(skills))) as pos from r), n as (select candidate_id, string_agg({_skill('s.raw', 'sa')}, '|' order by pos) as skills from s left join skill_alias sa on sa.k = lower(s.raw) group by 1) "
     "select r.candidate_id, n.skills, case when len(experience) > 0 then array_to_string(list_filter(list_transform(experience, lambda e: e.company), lambda c: c is not null), '|') end as companies from r left join n using (candidate_id)",

@@ -46,8 +46,12 @@ def resolve_headers(columns: list[str]) -> dict[str, str]:
     return {f: next(by[a] for a in names if a in by) for f, names in dims.HEADERS.items() if any(a in by for a in names)}
 
 
-def from_rows(df: DataFrame, id_col: str, source: str = "csv", file_col: str | None = None) -> DataFrame:
-    """Extractions from rows whose columns are named in any of the known ways; all-blank rows are left out."""
+def from_rows(df: DataFrame, id_col: str, source: str = "csv", file_col: str | None = None, lists: bool = False) -> DataFrame:
+    """Extractions from rows whose columns are named in any of the known ways; all-blank rows are left out.
+
+    With ``lists`` the columns experience and education hold lists of entries that are taken over as they are.
+    """
+    given = {c: F.col(c) if lists else F.array().cast(t) for c, t in (("experience", EXPERIENCE), ("education", EDUCATION))}
     at = resolve_headers([c for c in df.columns if c not in (id_col, file_col)])
     cell = lambda f: _clean_cell(F.col(f"`{at[f]}`").cast("string")) if f in at else F.lit(None).cast("string")
     filled = F.coalesce(*[_clean_cell(F.col(f"`{c}`").cast("string")) for c in at.values()]) if at else F.lit(None)
@@ -55,8 +59,8 @@ def from_rows(df: DataFrame, id_col: str, source: str = "csv", file_col: str | N
     mails = split_multi(cell("email"))
     return conform(
         df.where(filled.isNotNull()), ext_id=F.col(f"`{id_col}`"), source_name=F.lit(source), source_file=F.col(f"`{file_col}`") if file_col else F.lit(None), full_name=name, emails=mails, phones=split_multi(cell("phone")),
-        company=cell("company"), title=cell("title"), skills=split_multi(cell("skills"), "[;,|]"), linkedin=cell("linkedin"), github=cell("github"), experience=F.array().cast(EXPERIENCE), education=F.array().cast(EDUCATION),
-        warnings=F.when(name.isNull() & (F.size(mails) == 0), F.array(F.lit("neither name nor mail"))), is_valid=F.lit(True), **place_parts(cell("location_city"), cell("location_region"), cell("location_country"), cell("location")),
+        company=cell("company"), title=cell("title"), skills=split_multi(cell("skills"), "[;,|]"), linkedin=cell("linkedin"), github=cell("github"), 
+        warnings=F.when(name.isNull() & (F.size(mails) == 0), F.array(F.lit("neither name nor mail"))), is_valid=F.lit(True), **given, **place_parts(cell("location_city"), cell("location_region"), cell("location_country"), cell("location")),
     )
 
 
