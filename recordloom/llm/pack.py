@@ -15,17 +15,19 @@ numbering is the same for the same documents however they are partitioned.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.runtime import checkpoint
 
 CAPACITY = 2048
-#: Rank file of a public byte-level BPE; the path must hold on every worker.
+#: Rank file of a public byte-level BPE; it is sent to the workers that have none at this path.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level BPE of that file cuts a text before merging (public, fixed).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -35,7 +37,7 @@ def _counter(ranks: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(ranks, "rb") as lines:
+        with open(ranks if os.path.exists(ranks) else SparkFiles.get(os.path.basename(ranks)), "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
         for batch in batches:
@@ -47,6 +49,7 @@ def _counter(ranks: str):
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS) -> DataFrame:
     """(id, n): the tokens of every whole text."""
+    df.sparkSession.sparkContext.addFile(ranks)
     return df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(_counter(ranks), "id long, n long")
 
 
