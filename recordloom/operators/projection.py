@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 import warnings
+from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -116,11 +117,25 @@ def rejects(df: DataFrame, config: dict[str, Any], key: str = "candidate_id") ->
     return df.select(F.col(key), missing.alias("missing")).where(F.size("missing") > 0)
 
 
+def as_json(rows: DataFrame, left_out: Iterable[str] = ()) -> DataFrame:
+    """(json): rows as documents; keys in ``left_out`` are absent where they have no value, others are null."""
+    keep = {"ignoreNullFields": "false"}
+    # each key is its own small document, so that one can be absent while nulls inside another stay
+    parts = [F.to_json(F.struct(F.col(f"`{c}`").alias(c)), keep) for c in rows.columns]
+    parts = [F.when(F.col(f"`{c}`").isNotNull(), p) if c in set(left_out) else p for c, p in zip(rows.columns, parts)]
+    kept = F.transform(F.array_compact(F.array(*parts)), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    return rows.select(F.concat(F.lit("{"), F.array_join(kept, ","), F.lit("}")).alias("json"))
+
+
 def to_json(df: DataFrame, config: dict[str, Any]) -> DataFrame:
-    """(json): projected rows as documents; with the policy ``omit`` keys without a value are absent."""
+    """(json): projected rows as documents; with the policy ``omit`` keys without a value are absent, else they are null.
+
+    Confidence and provenance that were only asked for by include_* are absent where there is none.
+    """
     rows = project(df, config)
-    keep = "true" if config.get("missing_value") == "omit" else "false"
-    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": keep}).alias("json"))
+    asked = {output_key(s) for s in config["fields"]}
+    extra = [c for c in rows.columns if c not in asked]
+    return as_json(rows, rows.columns if config.get("missing_value") == "omit" else extra)
 
 
 def check_output(df: DataFrame, config: dict[str, Any]) -> dict[str, str]:
@@ -131,3 +146,10 @@ def check_output(df: DataFrame, config: dict[str, Any]) -> dict[str, str]:
         if declared in TYPES and key in df.columns and not isinstance(df.schema[key].dataType, TYPES[declared]):
             wrong[key] = f"expected {declared}, got {df.schema[key].dataType.simpleString()}"
     return wrong
+
+
+def check_required(df: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """The projected rows with ``errors``: required fields that are absent or null."""
+    needed = [output_key(s) for s in check_config(config)["fields"] if s.get("required")]
+    of = lambda k: F.when(F.col(f"`{k}`").isNull(), F.lit(f"required field {k} is null")) if k in df.columns else F.lit(f"required field {k} is missing")
+    return df.withColumn("errors", F.array_compact(F.array(*map(of, needed))) if needed else F.array().cast("array<string>"))

@@ -14,7 +14,7 @@ from recordloom.operators import fusion, linkage, projection, validation
 from recordloom.operators.schema import EXTRACTION
 from recordloom.runtime import checkpoint
 from recordloom.sources import files as F_
-from recordloom.sources import records
+from recordloom.sources import readers
 
 
 @dataclass
@@ -30,10 +30,17 @@ class Options:
 
 @dataclass
 class Result:
+    """``projected`` follows ``config``; rows that its policy leaves out are among the warnings."""
+
     profiles: DataFrame
     warnings: DataFrame
     projected: DataFrame | None
     metadata: dict[str, int]
+    config: dict[str, Any] | None = None
+
+    def documents(self) -> DataFrame:
+        """(json): one document a row, missing values as the policy wants them."""
+        return projection.to_json(self.profiles, self.config) if self.config else projection.as_json(self.profiles.drop("root"))
 
 
 class Engine:
@@ -42,26 +49,7 @@ class Engine:
 
     def extract(self, usable: DataFrame) -> DataFrame:
         """Extractions of all usable files, numbered in the order of the files and of the records in them."""
-        paths = [(r["file_ord"], r["path"], r["kind"]) for r in usable.select("file_ord", "path", "kind").collect()]  # the list of files
-        parts: list[DataFrame] = []
-        for ord_, path, kind in paths:
-            if kind == "csv":  # one reader per header; records may span lines, so a file is read in order by one task
-                rows = records.read_csv(self.spark, [path]).drop("__file").withColumn("__id", F.monotonically_increasing_id())
-                parts.append(records.from_rows(rows, "__id").withColumn("file_ord", F.lit(ord_)))
-        text = usable.where("kind = 'json'").select("file_ord", F_.decode(F.col("content")).alias("text"))
-        nested = records.unwrap(text, "text").withColumn("__id", F.col("rec_ord").cast("long"))
-        parts.append(_with_file(records.from_json_records, nested, "payload"))
-        kinds = {"pdf": "resume_pdf"} | ({"docx": "resume_docx", "txt": "resume_pdf"} if self.options.text_documents else {})
-        docs = records.document_texts(usable)
-        for kind, source in kinds.items():
-            one = docs.where(F.col("kind") == kind).withColumn("__id", F.lit(0).cast("long"))
-            parts.append(_with_file(records.from_text, one, "text", source=source, contacts_only=kind == "docx"))
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        # file and record in one number: the order of the input without sorting or counting anything, so that a
-        # file of any size is no single task's work
-        return every.withColumn("ext_id", F.col("file_ord").cast("long") * F.lit(2**40) + F.col("ext_id")).select(*EXTRACTION)
+        return readers.read_all(self.spark, usable, self.options).select(*EXTRACTION)
 
     def run(self, paths: list[str], config: dict[str, Any] | None = None) -> Result:
         config = projection.check_config(config) if config else None
@@ -70,31 +58,39 @@ class Engine:
         ext = checkpoint(self.extract(usable))
         groups = linkage.link(ext, self.options.ignore_stand_ins)
         profiles = checkpoint(fusion.fuse(ext, groups, self.options.as_of, self.options.dedup_mode, self.options.phone_profile)).orderBy("root")
-        notes = F_.file_warnings(scanned)
+        no_reader = usable.where(~F.col("kind").isin(*readers.READERS)).select(F.lit("source").alias("stage"), F.col("path").alias("ref"), F.lit(0).alias("seq"), F.lit("no reader for this kind of file").alias("message"))
+        notes = F_.file_warnings(scanned).unionByName(no_reader)
         notes = notes.unionByName(ext.select(F.lit("extract").alias("stage"), F.col("ext_id").cast("string").alias("ref"), F.posexplode("warnings").alias("seq", "message"))).unionByName(validation.warnings_of(profiles))
-        meta = {"source_count": usable.count(), "candidate_count": profiles.count()}
-        return Result(profiles, notes, projection.project(profiles, config) if config else None, meta)
+        meta = {"source_count": usable.count(), "given_count": len(paths), "candidate_count": profiles.count()}
+        result = Result(profiles, notes, None, meta)
+        return under(result, config) if config else result
 
 
-def _with_file(reader, df: DataFrame, column: str, **more) -> DataFrame:
-    """A reader's extractions with the file_ord of the row they came from."""
-    packed = df.withColumn("__key", F.col("file_ord").cast("long") * F.lit(2**40) + F.col("__id"))
-    ext = reader(packed, "__key", column, **more)
-    return ext.withColumn("file_ord", F.shiftright(F.col("ext_id"), 40).cast("int")).withColumn("ext_id", F.col("ext_id").bitwiseAND(F.lit(2**40 - 1)))
+def under(result: Result, config: dict[str, Any]) -> Result:
+    """The same run projected by ``config``; what its policy leaves out is among the warnings."""
+    config = projection.check_config(config)
+    notes, meta = result.warnings, dict(result.metadata)
+    if config.get("missing_value") == "error":
+        left_out = checkpoint(projection.rejects(result.profiles, config))
+        first = F.concat(F.lit("left out of the projection: required field "), F.get("missing", F.lit(0)), F.lit(" is missing"))
+        notes = notes.unionByName(left_out.select(F.lit("project").alias("stage"), F.col("candidate_id").alias("ref"), F.lit(0).alias("seq"), first.alias("message")))
+        meta["candidate_count"] -= left_out.count()
+    return Result(result.profiles, notes, projection.project(result.profiles, config), meta, config)
 
 
 def write_json(result: Result, folder: str) -> None:
-    """The scalable sink: JSON lines, with the metadata beside them."""
-    rows = result.projected if result.projected is not None else result.profiles.drop("root")
-    rows.write.mode("overwrite").json(f"{folder}/candidates")
+    """The scalable sink: documents as JSON lines, the warnings, and the metadata beside them."""
+    result.documents().write.mode("overwrite").text(f"{folder}/candidates")
     result.warnings.write.mode("overwrite").json(f"{folder}/warnings")
+    meta = result.metadata | {"warning_count": result.warnings.count()}
+    spark = result.profiles.sparkSession
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
 
 
 def envelope(result: Result, most: int = 10_000) -> str:
-    """One document {candidates, metadata} for small runs; refuses more than ``most`` profiles (use write_json)."""
-    rows = result.projected if result.projected is not None else result.profiles.drop("root")
-    found = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("j")).take(most + 1)
-    if len(found) > most:
-        raise ValueError("too many profiles for one document")
-    notes = [f"{r['stage']}: {r['ref']}: {r['message']}" for r in result.warnings.take(most)]
-    return json.dumps({"candidates": [json.loads(r["j"]) for r in found], "metadata": result.metadata | {"warnings": notes}}, ensure_ascii=False, indent=2)
+    """One document {candidates, metadata} for small runs; refuses more than ``most`` profiles or warnings (use write_json)."""
+    found, notes = result.documents().take(most + 1), result.warnings.take(most + 1)
+    if max(len(found), len(notes)) > most:
+        raise ValueError(f"more than {most} profiles or warnings for one document")
+    said = [f"{r['stage']}: {r['ref']}: {r['message']}" for r in notes]
+    return json.dumps({"candidates": [json.loads(r["json"]) for r in found], "metadata": result.metadata | {"warnings": said}}, ensure_ascii=False, indent=2)

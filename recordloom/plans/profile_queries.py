@@ -103,8 +103,7 @@ def json_keys(spark, sf_dir):
 
 def resume_person(spark, sf_dir):
     p = resume.person(F.col("text"))
-    size = lambda c: F.size(p[c]).alias(f"n_{c}")
-    return table(spark, sf_dir, "documents").select("doc_id", p["full_name"].alias("full_name"), p["headline"].alias("headline"), size("skills"), size("experience"), size("education"))
+    return table(spark, sf_dir, "documents").select("doc_id", p["full_name"].alias("full_name"), p["headline"].alias("headline"), F.array_join(p["skills"], "|").alias("skills"), *[F.to_json(p[c]).alias(c) for c in ("experience", "education")])
 
 
 # ------------------------------------------------------------------ linkage
@@ -218,11 +217,38 @@ def project_required(spark, sf_dir):
     return projection.project(_profiles(spark, sf_dir), config)
 
 
+_POLICY = {"fields": [{"path": "full_name", "required": True}, {"from": "emails[0]", "path": "primary_email", "required": True}, {"path": "location.country"}], "include_confidence": True}
+
+
+def project_null(spark, sf_dir):
+    """The documents of the sink under the policy null."""
+    return projection.to_json(_profiles(spark, sf_dir), {**_POLICY, "missing_value": "null"})
+
+
+def project_omit(spark, sf_dir):
+    """The documents of the sink under the policy omit."""
+    return projection.to_json(_profiles(spark, sf_dir), {**_POLICY, "missing_value": "omit"})
+
+
+def project_error(spark, sf_dir):
+    """The documents of the sink under the policy error."""
+    return projection.to_json(_profiles(spark, sf_dir), {**_POLICY, "missing_value": "error"})
+
+
+def project_left_out(spark, sf_dir):
+    """What the policy error leaves out, and why."""
+    return projection.rejects(_profiles(spark, sf_dir), _POLICY).select("candidate_id", F.array_join("missing", "|").alias("missing"))
+
+
 def validate_semantic(spark, sf_dir):
     v = validation.validate(_profiles(spark, sf_dir))
     return v.select("candidate_id", F.size("errors").alias("n_errors"))
 
 
+def validate_messages(spark, sf_dir):
+    return validation.validate(_profiles(spark, sf_dir)).where(F.size("errors") > 0).select("candidate_id", F.array_join("errors", "|").alias("errors"))
+
+
 def report_summary(spark, sf_dir):
     return report.summary(_profiles(spark, sf_dir))
 
@@ -237,7 +263,7 @@ QUERIES = {
     for f in (
         extract_emails, extract_phones, extract_location, phone_e164, date_ym, skill_canonical, country_iso, url_key, content_dedup, csv_extraction, json_keys, resume_person, link_tokens, link_components,
         merge_priority, name_agreement, merged_emails, merged_phones, merged_location, merged_links, merged_skills, experience_dedup, experience_years, education_first, provenance_distinct, fuse_profiles, fused_profile,
-        overall_confidence, project_custom, project_fanout, project_required, validate_semantic, report_summary, report_cards,
+        overall_confidence, project_custom, project_fanout, project_required, project_null, project_omit, project_error, project_left_out, validate_semantic, validate_messages, report_summary, report_cards,
     )
 }
 
@@ -324,6 +350,29 @@ _EXT = "ext as (" + " union all ".join(
 ) + ")"
 
 
+_RESULTS = "select result_id::varchar as candidate_id, * exclude (candidate_id) from result_with_pdfs"
+
+
+def _policy_sql(omit: bool, where: str = "true") -> str:
+    cells = {"full_name": "full_name", "primary_email": "emails[1]", "country": "location.country", "overall_confidence": "overall_confidence"}
+    absent = set(cells) if omit else {"overall_confidence"}
+    part = lambda k, c: (f"case when {c} is not null then '\"{k}\":' || to_json({c})::varchar end" if k in absent else f"'\"{k}\":' || coalesce(to_json({c})::varchar, 'null')")
+    return f"select '{{' || array_to_string(list_filter([{', '.join(part(k, c) for k, c in cells.items())}], lambda x: x is not null), ',') || '}}' as json from ({_RESULTS}) where {where}"
+
+
+def _messages_sql() -> str:
+    wrong = lambda c, rx: f"{c} <> '' and not regexp_matches({c}, '{rx}')"
+    each = lambda values, f, path, rx, form: f"list_filter(list_transform(coalesce({values}, []), lambda x, i: case when {wrong(f, rx)} then '{path[0]}[' || (i - 1) || ']{path[1]} \"' || {f} || '\" does not match {form} format' end), lambda m: m is not null)"
+    ym = r"^\d{4}-(?:0[1-9]|1[0-2])$"
+    lists = [
+        "list_filter([case when candidate_id is null then 'candidate_id is missing' end, case when overall_confidence not between 0 and 1 then 'overall_confidence is not between 0 and 1' end, case when total_years_experience < 0 then 'total_years_experience is negative' end, "
+        "case when len(list_filter(skills, lambda s: s.name is null or s.confidence not between 0 and 1)) > 0 then 'a skill has no name or a confidence not between 0 and 1' end], lambda m: m is not null)",
+        each("phones", "x", ("phones", ""), r"^\+\d{1,15}$", "E.164"), each("experience", "x.start_date", ("experience", ".start"), ym, "YYYY-MM"), each("experience", "x.end_date", ("experience", ".end"), ym, "YYYY-MM"),
+        f"case when {wrong('location.country', '^[A-Z]{2}$')} then ['location.country \"' || location.country || '\" does not match ISO-3166 alpha-2 format'] else [] end",
+    ]
+    return f"with e as (select candidate_id, {' || '.join(lists)} as errors from ({_RESULTS})) select candidate_id, array_to_string(errors, '|') as errors from e where len(errors) > 0"
+
+
 def _groups() -> str:
     """roots: every record with the smallest record that it is linked to, directly or through others."""
     return (
@@ -426,7 +475,6 @@ def _json_oracle() -> str:
     return f"select rec_id, {', '.join(map(cell, ('company', 'title', 'linkedin', 'github')))}, {size} from student_files"
 
 
-_RESULTS = "select result_id::varchar as candidate_id, * exclude (candidate_id) from result_with_pdfs"
 _MAIL, _PHONE = resume.MAIL, resume.PHONE
 _LOCATION = resume.LOCATION.replace("(?<city>", "(").replace("(?<region>", "(").replace("(?<country>", "(")
 
@@ -472,6 +520,11 @@ ORACLE = {
     "project_fanout": f"with {_skill_table()}, r as ({_RESULTS}), s as (select candidate_id, unnest(list_transform(skills, lambda x: {_strip('x.name')})) as raw, unnest(range(len(skills))) as pos from r), n as (select candidate_id, string_agg({_skill('s.raw', 'sa')}, '|' order by pos) as skills from s left join skill_alias sa on sa.k = lower(s.raw) group by 1) "
     "select r.candidate_id, n.skills, case when len(experience) > 0 then array_to_string(list_filter(list_transform(experience, lambda e: e.company), lambda c: c is not null), '|') end as companies from r left join n using (candidate_id)",
     "project_required": f"select candidate_id, full_name, emails[1] as email from ({_RESULTS}) where candidate_id is not null and full_name is not null and emails[1] is not null",
+    "project_null": _policy_sql(False),
+    "project_omit": _policy_sql(True),
+    "project_error": _policy_sql(False, "full_name is not null and emails[1] is not null"),
+    "project_left_out": f"select candidate_id, concat_ws('|', case when full_name is null then 'full_name' end, case when emails[1] is null then 'primary_email' end) as missing from ({_RESULTS}) where full_name is null or emails[1] is null",
+    "validate_messages": _messages_sql(),
     "validate_semantic": f"select candidate_id, (coalesce(len(list_filter(phones, lambda p: p <> '' and not regexp_matches(p, '^\\+\\d{{1,15}}$'))), 0) + coalesce(len(list_filter(experience, lambda e: e.start_date <> '' and not regexp_matches(e.start_date, '^\\d{{4}}-(?:0[1-9]|1[0-2])$'))), 0) + coalesce(len(list_filter(experience, lambda e: e.end_date <> '' and not regexp_matches(e.end_date, '^\\d{{4}}-(?:0[1-9]|1[0-2])$'))), 0) "
     f"+ case when location.country <> '' and not regexp_matches(location.country, '^[A-Z]{{2}}$') then 1 else 0 end + case when overall_confidence not between 0 and 1 then 1 else 0 end + case when total_years_experience < 0 then 1 else 0 end + case when len(list_filter(skills, lambda s: s.name is null or s.confidence not between 0 and 1)) > 0 then 1 else 0 end)::int as n_errors from ({_RESULTS})",
     "report_summary": "select candidate_id, full_name, overall_confidence, " + ", ".join(f"coalesce(len({c}), 0)::int as n_{c}" for c in ("emails", "phones", "skills", "experience", "education")) + f", array_to_string(list_sort(list_distinct(list_transform(provenance, lambda p: p.source))), ', ') as sources from ({_RESULTS})",

@@ -64,10 +64,17 @@ def from_rows(df: DataFrame, id_col: str, source: str = "csv", file_col: str | N
     )
 
 
-def read_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Delimited files of one header, everything as text; quotes are doubled, records may span lines."""
-    df = spark.read.csv(paths, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=False, mode="PERMISSIVE")
-    return df.withColumn("__file", F.input_file_name())
+def read_csv(spark: SparkSession, paths: list[str], multi_line: bool = True, encoding: str = "UTF-8") -> DataFrame:
+    """Delimited files of one header, everything as text; quotes are doubled, with ``multi_line`` records may span lines.
+
+    __file is the file's path, __row numbers the rows of a file in their order (with gaps).
+    """
+    df = spark.read.csv(
+        paths, header=True, multiLine=multi_line, encoding=encoding, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, enforceSchema=False, mode="PERMISSIVE", maxCharsPerColumn=-1
+    )
+    # the place of a split in units of 2 MB, then the row in its task
+    row = F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 21), 27) + F.monotonically_increasing_id().bitwiseAND(F.lit(2**27 - 1))
+    return df.select("*", F.col("_metadata.file_path").alias("__file"), row.alias("__row"))
 
 
 def key_map(json_text: Column) -> Column:

@@ -189,3 +189,68 @@ def test_rows_in_any_naming(spark):
     df = spark.createDataFrame([(1, "Ann", None, "x@y.z, q@y.z"), (2, " ", None, "")], "id int, `First Name` string, surname string, `E-Mail` string")
     rows = records.from_rows(df, "id").collect()
     assert len(rows) == 1 and rows[0]["full_name"] == "Ann" and rows[0]["emails"] == ["x@y.z", "q@y.z"]
+
+
+@pytest.fixture(scope="module")
+def odd_files(tmp_path_factory):
+    d = tmp_path_factory.mktemp("odd")
+    (d / "latin one.csv").write_bytes("name,email\nJosé Peña,jose@x.com\n".encode("latin-1"))
+    (d / "a.csv").write_text("name,email\nAnn Lee,\n")
+    (d / "b.csv").write_text("﻿name,email\nBo Roe,bo@x.com\n")
+    (d / "same.csv").write_text("name,email\nAnn Lee,\n")
+    (d / "lines.csv").write_text('name,title,email\n"Cy\nDee","Dev, ""senior""",cy@x.com\n')
+    (d / "no.pdf").write_bytes(b"not a pdf")
+    (d / "bad.json").write_bytes(b'[{"name": "\xff"}]')
+    return [str(d / n) for n in ("latin one.csv", "a.csv", "b.csv", "same.csv", "lines.csv", "no.pdf", "bad.json")]
+
+
+@pytest.fixture(scope="module")
+def odd_run(spark, odd_files):
+    return Engine(spark, Options(as_of="2024-06")).run(odd_files)
+
+
+@pytest.mark.parametrize("policy", ["null", "omit", "error"])
+def test_sinks_follow_the_policy(spark, odd_run, tmp_path, policy):
+    from recordloom.plans.engine import under, write_json
+
+    config = {"fields": [{"path": "full_name", "required": True}, {"from": "emails[0]", "path": "email", "required": True}, {"path": "location"}], "missing_value": policy}
+    result = under(odd_run, config)
+    write_json(result, str(tmp_path / policy))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / policy / "candidates")).collect()]
+    one = json.loads(envelope(result))
+    key = lambda d: d["full_name"]
+    assert sorted(lines, key=key) == sorted(one["candidates"], key=key)
+    ann = [d for d in lines if d["full_name"] == "Ann Lee"]
+    want = {"null": [{"full_name": "Ann Lee", "email": None, "location": None}], "omit": [{"full_name": "Ann Lee"}], "error": []}
+    assert ann == want[policy]
+    assert {d["full_name"] for d in lines} >= {"José Peña", "Bo Roe"} and any("Cy" in d["full_name"] for d in lines)
+    meta = json.loads(spark.read.text(str(tmp_path / policy / "metadata")).first()["value"])
+    assert meta["candidate_count"] == len(lines) == 4 - (policy == "error") and meta["given_count"] == 7 and meta["source_count"] == 4
+    said = " ".join(one["metadata"]["warnings"])
+    assert ("required field email is missing" in said) == (policy == "error")
+    assert "PDF cannot be opened" in said and "not valid UTF-8" in said
+    assert meta["warning_count"] == len(one["metadata"]["warnings"])
+    with pytest.raises(ValueError):
+        envelope(result, most=1)
+
+
+def test_readers_can_be_added(spark, odd_files, monkeypatch):
+    from recordloom.sources import files, readers
+
+    monkeypatch.setattr(readers, "READERS", {"csv": lambda s, f, o: readers.delimited(s, f.where("file_ord = 1"), o)})
+    usable = files.usable(files.scan(spark, odd_files[:3]))
+    assert [r["full_name"] for r in Engine(spark, Options()).extract(usable).collect()] == ["Ann Lee"]
+
+
+def test_projected_rows_are_checked(spark):
+    df = spark.createDataFrame([("a", None), (None, "x")], "full_name string, email string")
+    config = {"fields": [{"path": "full_name", "required": True}, {"path": "email"}, {"path": "gone", "required": True}]}
+    assert [r["errors"] for r in projection.check_required(df, config).collect()] == [["required field gone is missing"], ["required field full_name is null", "required field gone is missing"]]
+
+
+def test_command_line(spark, odd_files, tmp_path, capsys):
+    from recordloom.__main__ import main
+
+    assert main(["--schema"]) == 0 and '"full_name"' in capsys.readouterr().out
+    assert main(["-s", odd_files[2], "-o", str(tmp_path / "x" / "r.json"), "--as-of", "2024-01", "--master", spark.sparkContext.master]) == 0
+    assert [c["full_name"] for c in json.loads((tmp_path / "x" / "r.json").read_text())["candidates"]] == ["Bo Roe"]

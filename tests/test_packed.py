@@ -45,3 +45,12 @@ def test_unpack_positions_and_clashes(spark):
     rows = [tuple(r) for r in packed.unpack(df, "ext_id", {"skills": False}, "t", at_least=2).orderBy("pos").collect()]
     assert rows == [("t", 1, "skills", 1, "a"), ("t", 1, "skills", 2, "b")]
     assert packed.unpack(df.limit(0), "ext_id", {"skills": False}, "t").count() == 0
+
+
+def test_control_characters_stay_and_many_quotes_are_linear(spark):
+    odd = "a\u0001b,\"c\u0002,\u0003d\",\u0004e,\u0004c"
+    many = ",".join(f'"v{i}, w"' for i in range(20_000))
+    df = spark.createDataFrame([(1, odd), (2, many)], "i int, c string")
+    got = {r["i"]: r["v"] for r in df.select("i", packed.values(F.col("c")).alias("v")).collect()}
+    assert got[1] == ["a\u0001b", "c\u0002,\u0003d", "\u0004e", "\u0004c"]
+    assert len(got[2]) == 20_000 and got[2][-1] == "v19999, w"
