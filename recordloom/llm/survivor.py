@@ -4,7 +4,7 @@
 Every field is one max over a struct, so the whole operator is a single aggregation with map-side combine: a key
 that holds a third of all rows is reduced before it is shuffled.
 
-``fuse`` (see fusion below) is the probabilistic alternative for values that no order of trust settles.
+``truth.fuse`` is the probabilistic alternative for values that no order of trust settles.
 
 Defined results: versions without a key are no group; a key with one row has nothing to decide; a field without a
 usable version has no row; ties end at the smaller row id.
