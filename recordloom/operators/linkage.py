@@ -2,9 +2,10 @@
 
 Every identifier (mail, phone, linkedin, github) and every pair of name and company or title becomes a token;
 records that share a token are tied to the token's smallest record, so the edges are linear in the tokens
-however many records share one.  Labels then take the least label of their neighbours and jump along pointers
-until nothing changes; each round is cut off with checkpoint().  Links that are counted to be few are followed in one
-task instead, with the same result.
+however many records share one.  In every round each record hooks to the least of its closed neighbourhood by a
+fresh hash and the links are drawn between what was hooked to, so they shrink by a constant factor in expectation
+whatever the shape of the groups; each round is cut off with checkpoint().  Links that are counted to be few are
+followed in one task, with the same result.
 
 ``ignore_stand_ins`` leaves out cells such as ``n/a`` that would tie strangers together; without it only blanks
 are left out.
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +54,14 @@ def tokens(ext: DataFrame, ignore_stand_ins: bool = False) -> DataFrame:
 
 
 def edges(toks: DataFrame) -> DataFrame:
-    """(u, v): each extraction and the smallest extraction that shares a token with it."""
-    key = ["kind", "key1", "key2"]
+    """(u, v): each extraction and the smallest extraction that shares a token (all columns but ext_id) with it."""
+    key = [c for c in toks.columns if c != "ext_id"]
     shared = toks.groupBy(*key).agg(F.min("ext_id").alias("v"), F.max("ext_id").alias("last")).where("v <> last").drop("last")
     return toks.join(shared, key).where("ext_id <> v").select(F.col("ext_id").alias("u"), "v").distinct()
 
 
 def _least_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rounds over links that fit one task."""
+    """Links that fit one task: roots hook to the least root that they are linked to, then all labels become roots."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     ids, at = np.unique(np.concatenate([x for p in parts for x in p]) if parts else np.zeros(0, np.int64), return_inverse=True)
     cut = np.cumsum([0] + [len(p[0]) for p in parts for _ in (0, 1)])
@@ -68,31 +70,49 @@ def _least_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     label = np.arange(len(ids))
     while True:
         low = label.copy()
-        np.minimum.at(low, u, label[v])
-        low = low[low]
+        np.minimum.at(low, label[u], label[v])
+        np.minimum.at(low, label[v], label[u])
+        while (low[low] != low).any():
+            low = low[low]
         if (low == label).all():
             break
         label = low
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[label], pa.int64())], names=["ext_id", "root"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ids[label], pa.int64())], names=["u", "r"])
 
 
 def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """(ext_id, root) for every extraction that has a link; root is the least of its component."""
-    both = checkpoint(links.select("u", "v").union(links.select("v", "u")).toDF("u", "v").distinct())
-    if both.count() <= few:
-        return checkpoint(both.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_least_labels, "ext_id long, root long"))
-    labels = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        met = labels.join(near, "u").select("u", "label", F.least("label", "near").alias("low"))
-        up = labels.select(F.col("u").alias("low"), F.col("label").alias("above"))
-        moved = checkpoint(met.join(up, "low", "left").select("u", "label", F.least("low", F.coalesce("above", "low")).alias("new")))
-        if moved.where("new <> label").isEmpty():
-            return moved.select(F.col("u").alias("ext_id"), F.col("new").alias("root"))
-        labels = moved.select("u", F.col("new").alias("label"))
+    kept = lambda df: checkpoint(df, estimates=False)
+
+    def drawn(df: DataFrame) -> DataFrame:  # each link once, from the larger end
+        u, v = F.col("u").cast("long"), F.col("v").cast("long")
+        return kept(df.where("u <> v").select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+
+    live = drawn(links)
+    hooks: list[DataFrame] = []
+    while 2 * live.count() > few:
+        rank = lambda c: F.struct(F.xxhash64(F.lit(7919 * (len(hooks) + 1)), c).alias("h"), c.alias("x"))  # noqa: E731, B023
+        both = live.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        hook = kept(both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("m")).select("u", F.least(F.col("m"), rank(F.col("u")))["x"].alias("r")))
+        hooks.append(hook)
+        half = live.join(hook, "u").select(F.col("r").alias("a"), "v")
+        live = drawn(half.join(hook.withColumnRenamed("u", "v"), "v").select(F.col("a").alias("u"), F.col("r").alias("v")))
+    found = kept(live.coalesce(1).mapInArrow(_least_labels, "u long, r long"))
+    if not hooks:
+        return found.select(F.col("u").alias("ext_id"), F.col("r").alias("root"))
+    for hook in reversed(hooks):  # from the few that were left back to all
+        later = found.select(F.col("u").alias("r"), F.col("r").alias("s"))
+        found = hook.join(later, "r", "left").select("u", F.coalesce("s", "r").alias("r"))
+    found = kept(found)
+    least = found.groupBy("r").agg(F.min("u").alias("root"))
+    return found.join(least, "r").select(F.col("u").alias("ext_id"), "root")
 
 
 def link(ext: DataFrame, ignore_stand_ins: bool = False) -> DataFrame:
     """(ext_id, root) for every extraction; one that shares nothing is its own root."""
-    found = components(edges(tokens(ext, ignore_stand_ins)))
+    toks = tokens(ext, ignore_stand_ins)
+    # taking rows apart is the dear part and both sides of the join need it: 128 bits of each token are kept on disk
+    toks = toks.select("ext_id", F.xxhash64("kind", "key1", "key2").alias("h"), F.xxhash64("key2", "key1", "kind").alias("g")).persist(StorageLevel.DISK_ONLY)
+    found = components(edges(toks))
+    toks.unpersist()
     return ext.select("ext_id").join(found, "ext_id", "left").select("ext_id", F.coalesce("root", "ext_id").alias("root"))

@@ -30,11 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, estimates: bool = True) -> DataFrame:
     """Cut the lineage into the shared folder that the cluster names.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests on one
     machine) a folder of our own is made.  Never ``localCheckpoint``: its blocks die with an executor.
+
+    A checkpoint keeps the size that was estimated of its plan.  Joins multiply sizes, so in a loop of joins the
+    number's digits at least double in each round until they fill the driver; without ``estimates`` it is forgotten.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -45,4 +48,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             where = tempfile.mkdtemp(prefix=f"recordloom-{os.getpid()}-")
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if estimates:
+        return kept
+    plain = kept._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plain, kept._jdf.schema(), False), spark)
