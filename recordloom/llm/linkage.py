@@ -9,9 +9,10 @@ reason counts once.  The posterior of a pair's pattern is its confidence.
 Scale: candidates come from several blocking keys (hashes of mailboxes, phones, profiles, name with company or place,
 initials with company and place).  The pairs of a key with many rows on both sides are spread over tasks by their
 number and voted on within the join; those whose names are wholly different while at most one other function agrees
-are not written.  Such a pair is no match under any key, so a key's size decides nothing; but the model does not count
-the unwritten ones.  Which keys are hot is told from one row in some, as it only chooses the way.  The model sees the
-patterns' counts: as many rows as there are combinations of levels, whatever the data's size; it never sees pairs.
+are counted there by their votes and not written.  Such a pair is no match under any key, and the model sees it in the
+counts all the same; a pair that several keys have in common is met once.  So a key's size decides nothing, and which
+keys are hot is told from one row in some, as it only chooses the way.  The model sees the patterns' counts: as many
+rows as there are combinations of levels, whatever the data's size; it never sees pairs.
 
 Defined results: a blank cell or stand-in is silent, never an agreement; repeated rows pair like any other row;
 an empty table gives no pairs.
@@ -87,9 +88,8 @@ def same_skills(canon: DataFrame, most: int = 5_000) -> dict[str, str]:
     return {clean(a): clean(r["label"]) for r in rows for a in [r["label"], *(r["aliases"] or [])] if a}
 
 
-def _keys(rows: DataFrame) -> DataFrame:
-    """(key, id): hashed blocking keys."""
-    p = rows.select("id", *forms())  # what no key needs is pruned
+def _key_list() -> Column:
+    """The hashed blocking keys of a row's forms."""
     key = lambda kind, *c: F.xxhash64(F.lit(kind), *c)
     local = lambda m: F.substring_index(m, "@", 1)
     none = F.array().cast("array<bigint>")
@@ -107,7 +107,12 @@ def _keys(rows: DataFrame) -> DataFrame:
         # a typing error or a short form seldom changes how the parts of a name begin
         F.when(full.isNotNull() & F.col("firm").isNotNull(), F.transform("places", lambda x: key("i", initials, F.col("firm"), x))).otherwise(none),
     )
-    return p.select("id", F.explode(F.array_distinct(F.array_compact(every))).alias("key"))
+    return F.array_distinct(F.array_compact(every))
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """(key, id): hashed blocking keys."""
+    return rows.select("id", *forms()).select("id", F.explode(_key_list()).alias("key"))  # what no key needs is pruned
 
 
 def _hot_keys(a: DataFrame, b: DataFrame, hot: int) -> DataFrame:
@@ -122,24 +127,38 @@ def _hot_keys(a: DataFrame, b: DataFrame, hot: int) -> DataFrame:
     return sizes.where(pairs > hot).select("key", F.ceil(pairs / F.lit(SHARE)).alias("tasks"))
 
 
-def candidates(a: DataFrame, b: DataFrame, hot: int = HOT, same_skill: dict[str, str] | None = None) -> DataFrame:
-    """(a, b): the distinct pairs of rows (see ``raw``) that share a blocking key."""
-    ka, kb = _keys(a), _keys(b)
-    many = checkpoint(_hot_keys(a, b, hot))
-    if many.isEmpty():
-        return ka.select("key", F.col("id").alias("a")).join(kb.select("key", F.col("id").alias("b")), "key").select("a", "b").distinct()
-    few = lambda k, side: k.join(many, "key", "left_anti").select("key", F.col("id").alias(side))
-    pairs = few(ka, "a").join(few(kb, "b"), "key").select("a", "b")
+def _cold(a: DataFrame, b: DataFrame, many: DataFrame | None) -> DataFrame:
+    """(a, b): the distinct pairs of rows that share a key which is not hot."""
+    few = lambda rows, side: (_keys(rows) if many is None else _keys(rows).join(many, "key", "left_anti")).select("key", F.col("id").alias(side))
+    return few(a, "a").join(few(b, "b"), "key").select("a", "b").distinct()
+
 
-    def spread(k: DataFrame, rows: DataFrame, side: str, place: str, task) -> DataFrame:
-        said = rows.select("id", F.struct(*forms(same_skill)).alias(side))
-        return k.join(many, "key").join(said, "id").select("key", F.col("id").alias(place), side, task(F.col("tasks")).alias("task"))
+def _hot(a: DataFrame, b: DataFrame, many: DataFrame, same_skill: dict[str, str] | None) -> DataFrame:
+    """(a, b, votes, n) of the pairs that share hot keys only, each once; hopeless ones are counted without a and b."""
 
-    left = spread(ka, a, "l", "a", lambda n: F.pmod(F.xxhash64("id"), n))
-    right = spread(kb, b, "r", "b", lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    def spread(rows: DataFrame, side: str, place: str, task) -> DataFrame:
+        said = rows.select("id", *forms(same_skill))
+        said = said.select("id", F.struct(*said.columns[1:]).alias(side), _key_list().alias(f"{side}_keys"))
+        own = _keys(rows).join(many, "key").groupBy("id").agg(F.collect_set(F.struct("key", "tasks")).alias("own"))
+        each = said.join(own, "id").select(F.col("id").alias(place), side, f"{side}_keys", F.col("own.key").alias(f"{side}_hot"), F.inline("own"))
+        return each.withColumn("task", task(F.col("tasks"))).drop("tasks")
+
+    left = spread(a, "l", "a", lambda n: F.pmod(F.xxhash64("a"), n))
+    right = spread(b, "r", "b", lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    common = F.array_intersect("l_hot", "r_hot")
+    here = (F.col("key") == F.array_min(common)) & (F.size(common) == F.size(F.array_intersect("l_keys", "r_keys")))
     cast = votes()
-    met = left.join(right, ["key", "task"]).where(~_hopeless([cast[n] for n in cast if n != "v_name"], cast["v_name"])).select("a", "b")
-    return pairs.unionByName(met).distinct()
+    met = left.join(right, ["key", "task"]).where(here).select("a", "b", *[v.cast("tinyint").alias(n) for n, v in cast.items()])
+    written = lambda c: F.when(~_hopeless([F.col(n) for n in cast if n != "v_name"], F.col("v_name")), F.col(c)).alias(c)
+    return met.select(written("a"), written("b"), *cast).groupBy("a", "b", *cast).agg(F.count("*").alias("n"))
+
+
+def candidates(a: DataFrame, b: DataFrame, hot: int = HOT, same_skill: dict[str, str] | None = None) -> DataFrame:
+    """(a, b): the distinct pairs of rows (see ``raw``) that share a blocking key, without the hopeless ones that share hot keys only."""
+    many = checkpoint(_hot_keys(a, b, hot))
+    if many.isEmpty():
+        return _cold(a, b, None)
+    return _cold(a, b, many).unionByName(_hot(a, b, many, same_skill).where("a is not null").select("a", "b"))
 
 
 def _hopeless(others: list[Column], name: Column) -> Column:
@@ -251,14 +270,17 @@ def _start(patterns: np.ndarray, names: list[str]) -> np.ndarray:
 
 def link(a: DataFrame, b: DataFrame, same_skill: dict[str, str] | None = None, least: float = 0.5) -> DataFrame:
     """(a, b, confidence): the pairs of rows (see ``raw``) that are one person more likely than not."""
-    pairs = candidates(a, b, same_skill=same_skill)
+    many = checkpoint(_hot_keys(a, b, HOT))
+    many = None if many.isEmpty() else many
+    pairs = _cold(a, b, many)
     # the rows of the larger side meet their pairs as they are: only those that are in a pair are taken apart
     left = pairs.join(a.withColumnRenamed("id", "a"), "a").select("a", "b", F.struct(*forms(same_skill)).alias("l"))
     right = b.select(F.col("id").alias("b"), F.struct(*forms(same_skill)).alias("r"))
     cast = votes()
     names = list(cast)
-    voted = checkpoint(left.join(right, "b").select("a", "b", *[v.cast("tinyint").alias(n) for n, v in cast.items()]))
-    rows = voted.groupBy(*names).count().collect()  # at most the product of the levels
+    voted = left.join(right, "b").select("a", "b", *[v.cast("tinyint").alias(n) for n, v in cast.items()], F.lit(1).cast("long").alias("n"))
+    voted = checkpoint(voted if many is None else voted.unionByName(_hot(a, b, many, same_skill)))
+    rows = voted.groupBy(*names).agg(F.sum("n").alias("count")).collect()  # at most the product of the levels
     if not rows:
         return voted.select("a", "b", F.lit(0.0).alias("confidence"))
     patterns, counts = np.array([[r[n] for n in names] for r in rows]), np.array([float(r["count"]) for r in rows])
@@ -266,4 +288,4 @@ def link(a: DataFrame, b: DataFrame, same_skill: dict[str, str] | None = None, l
     spark = a.sparkSession
     table = spark.createDataFrame([(*map(int, p), float(q)) for p, q in zip(patterns, model.posterior) if q > least], ", ".join(f"{n} tinyint" for n in names) + ", confidence double")
     hopeless = _hopeless([F.col(n) for n in names if n != "v_name"], F.col("v_name"))
-    return voted.join(F.broadcast(table.where(~hopeless)), names).select("a", "b", "confidence")
+    return voted.where("a is not null").join(F.broadcast(table.where(~hopeless)), names).select("a", "b", "confidence")
