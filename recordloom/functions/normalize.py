@@ -15,19 +15,20 @@ def blank_to_null(c: Column) -> Column:
 
 def phone_e164(c: Column, profile: str = "digits") -> Column:
     """``+`` and digits, or null.  ``profile='library'`` follows the stricter rules for numbers without ``+``."""
-    v = strip(c)
-    digits = F.regexp_replace(v, r"[^0-9]", "")
-    n = F.length(digits)
-    common = (
-        F.when(c.isNull() | (n == 0), None)
-        .when(v.startswith("+"), F.concat(F.lit("+"), digits))
-        .when(n == 10, F.concat(F.lit("+1"), digits))
-        .when((n == 11) & digits.startswith("1"), F.concat(F.lit("+"), digits))
-        .when((n == 12) & digits.startswith("91"), F.concat(F.lit("+"), digits))
-    )
-    if profile == "library":
-        return common.when(n.between(7, 9), F.concat(F.lit("+1"), digits))
-    return common.when(n >= 7, F.concat(F.lit("+"), digits))
+    def read(v: Column, digits: Column) -> Column:
+        n = F.length(digits)
+        common = (
+            F.when(v.isNull() | (n == 0), None)
+            .when(v.startswith("+"), F.concat(F.lit("+"), digits))
+            .when(n == 10, F.concat(F.lit("+1"), digits))
+            .when((n == 11) & digits.startswith("1"), F.concat(F.lit("+"), digits))
+            .when((n == 12) & digits.startswith("91"), F.concat(F.lit("+"), digits))
+        )
+        if profile == "library":
+            return common.when(n.between(7, 9), F.concat(F.lit("+1"), digits))
+        return common.when(n >= 7, F.concat(F.lit("+"), digits))
+
+    return _bound(strip(c), lambda v: _bound(F.regexp_replace(v, r"[^0-9]+", ""), lambda digits: read(v, digits)))
 
 
 def _bound(c: Column, use) -> Column:
@@ -90,9 +91,8 @@ def skill_name(c: Column) -> Column:
 
 def url_key(c: Column) -> Column:
     """A link without case, closing slashes, scheme and www."""
-    v = F.regexp_replace(F.lower(strip(c)), r"/+$", "")
-    for prefix in (r"^https://www\.", r"^http://www\.", r"^https://", r"^http://", r"^www\."):
-        v = F.regexp_replace(v, prefix, "")
+    v = F.rtrim(F.lower(strip(c)), F.lit("/"))
+    v = F.regexp_replace(v, r"^(?:https://www\.)?(?:http://www\.)?(?:https://)?(?:http://)?(?:www\.)?", "")  # one after the other, each once
     return F.when(strip(c) != "", v)
 
 

@@ -17,8 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import normalize as N
@@ -27,7 +26,7 @@ from recordloom.runtime import checkpoint
 
 
 #: Links (both ways) that one task may follow.
-FEW = 500_000
+FEW = 4_000_000
 
 
 def tokens(ext: DataFrame, ignore_stand_ins: bool = False) -> DataFrame:
@@ -38,26 +37,28 @@ def tokens(ext: DataFrame, ignore_stand_ins: bool = False) -> DataFrame:
     def of(kind: str, keys: Column, name: Column | None = None) -> Column:
         return F.transform(F.filter(F.array_distinct(keys), lambda k: k.isNotNull()), lambda k: F.struct(F.lit(kind).alias("kind"), (k if name is None else name).alias("key1"), (F.lit("") if name is None else k).alias("key2")))
 
-    name = low(F.col("full_name"))
+    # lambdas work out what they name once for each element: what a record has once is worked out before
+    once = {c: low(F.col(c)) for c in ("full_name", "company", "title", "headline")} | {c: N.url_key(clean(F.col(c))) for c in ("linkedin", "github")}
+    ext = ext.select("ext_id", "emails", "phones", "experience", *[v.alias(c) for c, v in once.items()])
+    name = F.col("full_name")
     none = F.array().cast("array<string>")
     jobs = lambda f: F.coalesce(F.transform("experience", lambda e: low(e[f])), none)
     named = lambda kind, keys: F.when(name.isNotNull(), of(kind, keys, name)).otherwise(F.array().cast("array<struct<kind:string,key1:string,key2:string>>"))
     every = F.concat(
         of("email", F.coalesce(F.transform("emails", low), none)),
         of("phone", F.coalesce(F.transform("phones", lambda p: N.phone_e164(clean(p))), none)),
-        of("linkedin", F.array(N.url_key(clean(F.col("linkedin"))))),
-        of("github", F.array(N.url_key(clean(F.col("github"))))),
-        named("name_company", F.concat(F.array(low(F.col("company"))), jobs("company"))),
-        named("name_title", F.concat(F.array(low(F.col("title")), low(F.col("headline"))), jobs("title"))),
+        of("linkedin", F.array("linkedin")),
+        of("github", F.array("github")),
+        named("name_company", F.concat(F.array("company"), jobs("company"))),
+        named("name_title", F.concat(F.array("title", "headline"), jobs("title"))),
     )
     return ext.select("ext_id", F.inline(every))
 
 
 def edges(toks: DataFrame) -> DataFrame:
     """(u, v): each extraction and the smallest extraction that shares a token (all columns but ext_id) with it."""
-    key = [c for c in toks.columns if c != "ext_id"]
-    shared = toks.groupBy(*key).agg(F.min("ext_id").alias("v"), F.max("ext_id").alias("last")).where("v <> last").drop("last")
-    return toks.join(shared, key).where("ext_id <> v").select(F.col("ext_id").alias("u"), "v").distinct()
+    one = Window.partitionBy(*[c for c in toks.columns if c != "ext_id"]).orderBy("ext_id")
+    return toks.select(F.col("ext_id").alias("u"), F.min("ext_id").over(one).alias("v")).where("u <> v").distinct()
 
 
 def _least_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +112,6 @@ def components(links: DataFrame, few: int = FEW) -> DataFrame:
 def link(ext: DataFrame, ignore_stand_ins: bool = False) -> DataFrame:
     """(ext_id, root) for every extraction; one that shares nothing is its own root."""
     toks = tokens(ext, ignore_stand_ins)
-    # taking rows apart is the dear part and both sides of the join need it: 128 bits of each token are kept on disk
-    toks = toks.select("ext_id", F.xxhash64("kind", "key1", "key2").alias("h"), F.xxhash64("key2", "key1", "kind").alias("g")).persist(StorageLevel.DISK_ONLY)
-    found = components(edges(toks))
-    toks.unpersist()
+    # 128 bits of each token are sent and sorted, once
+    found = components(edges(toks.select("ext_id", F.xxhash64("kind", "key1", "key2").alias("h"), F.xxhash64("key2", "key1", "kind").alias("g"))))
     return ext.select("ext_id").join(found, "ext_id", "left").select("ext_id", F.coalesce("root", "ext_id").alias("root"))

@@ -23,20 +23,22 @@ def _clean_cell(c: Column) -> Column:
     return F.nullif(v, F.lit(""))
 
 
-def split_multi(c: Column, marks: str = "[;,]") -> Column:
-    parts = F.filter(F.transform(F.split(c, marks), strip), lambda p: p != "")
+def split_multi(c: Column, marks: str = ";,") -> Column:
+    """The parts of a cell between any of ``marks``; one mark is split at without a regular expression."""
+    one = F.translate(c, marks[1:], marks[0] * (len(marks) - 1)) if len(marks) > 1 else c
+    parts = F.filter(F.transform(F.split(one, marks[0]), strip), lambda p: p != "")
     return F.coalesce(parts, F.array().cast("array<string>"))
 
 
 def place_parts(city: Column, region: Column, country: Column, whole: Column) -> dict[str, Column]:
     """Explicit parts of a place, or, where there are none, the parts of a place written in one."""
     parts = split_multi(whole, ",")
-    n, none = F.size(parts), F.coalesce(city, region, country).isNull()
-    part = lambda k, at_least: F.when(n >= at_least, F.get(parts, F.lit(k)))
+    none = F.coalesce(city, region, country).isNull()
+    part = lambda k: F.get(parts, F.lit(k))
     return {
-        "location_city": F.when(none, part(0, 1)).otherwise(city),
-        "location_region": F.when(none, part(1, 2)).otherwise(region),
-        "location_country": F.when(none, part(2, 3)).otherwise(country),
+        "location_city": F.when(none, part(0)).otherwise(city),
+        "location_region": F.when(none, part(1)).otherwise(region),
+        "location_country": F.when(none, part(2)).otherwise(country),
     }
 
 
@@ -59,7 +61,7 @@ def from_rows(df: DataFrame, id_col: str, source: str = "csv", file_col: str | N
     mails = split_multi(cell("email"))
     return conform(
         df.where(filled.isNotNull()), ext_id=F.col(f"`{id_col}`"), source_name=F.lit(source), source_file=F.col(f"`{file_col}`") if file_col else F.lit(None), full_name=name, emails=mails, phones=split_multi(cell("phone")),
-        company=cell("company"), title=cell("title"), skills=split_multi(cell("skills"), "[;,|]"), linkedin=cell("linkedin"), github=cell("github"), 
+        company=cell("company"), title=cell("title"), skills=split_multi(cell("skills"), ";,|"), linkedin=cell("linkedin"), github=cell("github"), 
         warnings=F.when(name.isNull() & (F.size(mails) == 0), F.array(F.lit("neither name nor mail"))), is_valid=F.lit(True), **given, **place_parts(cell("location_city"), cell("location_region"), cell("location_country"), cell("location")),
     )
 

@@ -28,3 +28,11 @@ def test_long_chains_and_stars_in_few_rounds(spark, few, monkeypatch):
     # joins multiply estimated sizes: over rounds that keep them they grow to numbers that fill the driver
     sizes = [df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() for df in [*kept, found]]
     assert max(int(x).bit_length() for x in sizes) < 1000
+
+
+def test_each_token_is_sent_once(spark):
+    rows = [(1, "m", "a"), (2, "m", "a"), (3, "m", "a"), (3, "m", "a"), (3, "p", "b"), (4, "p", "b"), (5, "p", "c"), (None, "p", "b")]
+    found = linkage.edges(spark.createDataFrame(rows, "ext_id bigint, kind string, key string"))
+    assert sorted(map(tuple, found.collect())) == [(2, 1), (3, 1), (4, 3)]
+    # both sides of a join would send every token, and keep a copy on disk for the second
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
