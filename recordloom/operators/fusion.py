@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from recordloom.functions import dims
 from recordloom.functions import normalize as N
 from recordloom.operators import scoring
-from recordloom.runtime import checkpoint
 
 
 def ordered(ext: DataFrame, groups: DataFrame) -> DataFrame:
@@ -79,6 +78,18 @@ def skills(members: DataFrame) -> DataFrame:
     return per.withColumn("confidence", scoring.skill_confidence(F.col("sources")))
 
 
+def _low(e: Column, f: str) -> Column:
+    return F.lower(F.coalesce(N.blank_to_null(e[f]), F.lit("")))
+
+
+def _job_key(e: Column, mode: str) -> Column:
+    return _low(e, "start_date") if mode == "reference" else F.concat_ws("\u0001", _low(e, "company"), _low(e, "title"), F.coalesce(N.date_ym(N.blank_to_null(e["start_date"])), F.lit("")))
+
+
+def _study_key(e: Column, mode: str) -> Column:
+    return F.lit("") if mode == "reference" else F.concat_ws("\u0001", _low(e, "institution"), _low(e, "degree"))
+
+
 def experience(members: DataFrame, mode: str = "reference") -> DataFrame:
     """(root, company, title, start, end, summary, source, ord, pos): jobs, repeats left out.
 
@@ -87,9 +98,8 @@ def experience(members: DataFrame, mode: str = "reference") -> DataFrame:
     """
     rows = members.select("root", "source_name", "ord", F.posexplode("experience").alias("pos", "e"))
     text = lambda f: N.blank_to_null(F.col(f"e.{f}"))
-    key = F.lower(F.coalesce(text("start_date"), F.lit(""))) if mode == "reference" else F.concat_ws("\u0001", F.lower(F.coalesce(text("company"), F.lit(""))), F.lower(F.coalesce(text("title"), F.lit(""))), F.coalesce(N.date_ym(text("start_date")), F.lit("")))
     first = F.min(F.struct("ord", "pos", "source_name", "e"))
-    kept = rows.groupBy("root", key.alias("key")).agg(first.alias("f")).select("root", F.col("f.source_name").alias("source"), F.col("f.ord").alias("ord"), F.col("f.pos").alias("pos"), F.col("f.e").alias("e"))
+    kept = rows.groupBy("root", _job_key(F.col("e"), mode).alias("key")).agg(first.alias("f")).select("root", F.col("f.source_name").alias("source"), F.col("f.ord").alias("ord"), F.col("f.pos").alias("pos"), F.col("f.e").alias("e"))
     return kept.select("root", text("company").alias("company"), text("title").alias("title"), N.date_ym(text("start_date")).alias("start"), N.date_ym(text("end_date")).alias("end"), text("summary").alias("summary"), "source", "ord", "pos")
 
 
@@ -104,59 +114,113 @@ def education(members: DataFrame, mode: str = "reference") -> DataFrame:
     """(root, institution, degree, field_of_study, end_year, source, ord, pos); ``'reference'`` keeps the first of a group."""
     rows = members.select("root", "source_name", "ord", F.posexplode("education").alias("pos", "e"))
     text = lambda f: N.blank_to_null(F.col(f"e.{f}"))
-    key = F.lit("") if mode == "reference" else F.concat_ws("\u0001", F.lower(F.coalesce(text("institution"), F.lit(""))), F.lower(F.coalesce(text("degree"), F.lit(""))))
     year = F.lit(None).cast("int") if mode == "reference" else N.year_of(text("year"))
     first = F.min(F.struct("ord", "pos", "source_name", "e"))
-    kept = rows.groupBy("root", key.alias("key")).agg(first.alias("f")).select("root", F.col("f.source_name").alias("source"), F.col("f.ord").alias("ord"), F.col("f.pos").alias("pos"), F.col("f.e").alias("e"))
+    kept = rows.groupBy("root", _study_key(F.col("e"), mode).alias("key")).agg(first.alias("f")).select("root", F.col("f.source_name").alias("source"), F.col("f.ord").alias("ord"), F.col("f.pos").alias("pos"), F.col("f.e").alias("e"))
     return kept.select("root", text("institution").alias("institution"), text("degree").alias("degree"), text("field_of_study").alias("field_of_study"), year.alias("end_year"), "source", "ord", "pos")
 
 
+def _firsts(members: DataFrame, mode: str, phone_profile: str) -> DataFrame:
+    """(root, and per kind of field, under its name behind a line, a list of (o, key, v, source, g, n, sources)): the first of each distinct value of a group.
+
+    ``o`` is its place; ``g`` the first place of the value without regard to how its source is written, ``n`` the rows
+    that have it.  Members are sent to their group once, and all that follows happens where they arrive.
+    """
+    JOB, STUDY = ("company", "title", "start_date", "end_date", "summary"), ("institution", "degree", "field_of_study", "year")
+    SINGLE, WITH_SOURCES = ("full_name", "headline", "given"), ("skills", "self")
+    text = lambda c: N.blank_to_null(F.col(c))
+    entry = lambda kind, key, pos, *v: F.struct(F.lit(kind).alias("kind"), key.alias("key"), pos.alias("pos"), F.array(*v).alias("v"))
+    none = F.array().cast("array<struct<kind:string,key:string,pos:int,v:array<string>>>")
+    here = lambda there, kind, key, *v: F.when(there, F.array(entry(kind, key, F.lit(0), *v))).otherwise(none)
+    single = lambda kind, c: here(N.blank_to_null(c).isNotNull(), kind, F.lower(c), c)
+    each = lambda c, make: F.coalesce(F.filter(F.transform(c, make), lambda x: x["key"].isNotNull()), none)
+    parts = [text(f"location_{c}") for c in ("city", "region", "country")]
+
+    def skill(x: Column, i: Column) -> Column:
+        name = N.skill_name(N.blank_to_null(x))
+        return F.get(F.transform(F.array(name), lambda n: entry("skills", F.lower(n), i, n)), F.lit(0))
+
+    every = [
+        here(F.lit(True), "self", F.lit("")), single("full_name", F.col("full_name")), single("headline", F.col("headline")), single("given", F.col("total_years_experience").cast("string")),
+        here(F.coalesce(*parts).isNotNull(), "location", F.lit(""), *parts), *[here(text(c).isNotNull(), c, F.lit(""), text(c)) for c in ("linkedin", "github")],
+        each("emails", lambda x, i: entry("emails", N.mail_key(x), i, x)), each("phones", lambda x, i: entry("phones", N.phone_e164(x, phone_profile), i, x)), each("skills", skill),
+        each("experience", lambda e, i: entry("experience", _job_key(e, mode), i, *[e[f] for f in JOB])), each("education", lambda e, i: entry("education", _study_key(e, mode), i, *[e[f] for f in STUDY])),
+    ]
+    kinds = ["self", *SINGLE, "location", "linkedin", "github", "emails", "phones", "skills", "experience", "education"]
+    if phone_profile != "digits":  # provenance follows the digits
+        every.append(each("phones", lambda x, i: entry("digits", N.phone_e164(x), i, x)))
+        kinds.append("digits")
+    used = ["full_name", "headline", "total_years_experience", "location_city", "location_region", "location_country", "linkedin", "github", "emails", "phones", "skills", "experience", "education"]
+    sent = members.select("root", "source_name", "ord", *used).repartition("root")
+    rows = sent.select("root", "source_name", "ord", F.inline(F.concat(*every)))
+    place = F.struct(F.col("ord.p").alias("p"), F.when(F.col("kind").isin(*SINGLE), F.col("source_name")).otherwise(F.lit("")).alias("a"), F.col("ord.s").alias("s"), F.col("ord.e").alias("e"), F.col("pos").alias("pos"))
+    per = rows.groupBy("root", "kind", "key").agg(
+        F.min(F.struct(place.alias("o"), "v", F.col("source_name").alias("source"))).alias("f"), F.min(F.when(F.col("kind").isin(*SINGLE), F.col("ord"))).alias("g"), F.count("*").alias("n"),
+        F.array_sort(F.collect_set(F.when(F.col("kind").isin(*WITH_SOURCES), F.col("source_name")))).alias("sources"),
+    )
+    value = F.struct(F.col("f.o").alias("o"), "key", F.col("f.v").alias("v"), F.col("f.source").alias("source"), "g", "n", "sources")
+    return per.groupBy("root").agg(*[F.collect_list(F.when(F.col("kind") == k, value)).alias(f"_{k}") for k in kinds])
+
+
+def _traced(firsts: DataFrame) -> Column:
+    """Which source each field came from, once each, sorted: a list of (field, source)."""
+    pair = lambda field, source: F.struct(field.alias("field"), source.alias("source"))
+    top = lambda kind, field: F.transform(F.slice(F.array_sort(kind), 1, 1), lambda x: pair(F.lit(field), x["source"]))
+    each = lambda kind, field: F.transform(kind, lambda x: pair(F.lit(field), x["source"]))
+    named = lambda kind, mark: F.transform(kind, lambda x: pair(F.concat(F.lit(mark), F.coalesce(N.blank_to_null(x["v"][0]), F.lit(""))), x["source"]))
+    skill = F.flatten(F.transform("_skills", lambda x: F.transform(x["sources"], lambda s: pair(F.concat(F.lit("skill:"), x["v"][0]), s))))
+    return F.array_sort(F.array_distinct(F.concat(
+        top("_full_name", "full_name"), top("_headline", "headline"), top("_location", "location"), top("_linkedin", "links.linkedin"), top("_github", "links.github"), each("_emails", "email"),
+        each("_digits" if "_digits" in firsts.columns else "_phones", "phone"), skill, named("_experience", "experience:"), named("_education", "education:"),
+    )))
+
+
 def provenance(members: DataFrame, mode: str = "reference") -> DataFrame:
     """(root, field, source): which source each field of a profile came from, once each."""
-    name, head, loc, li = resolve(members, "full_name", True), resolve(members, "headline"), locations(members), links(members)
-    row = lambda df, field: df.select("root", (F.lit(field) if isinstance(field, str) else field).alias("field"), "source")
-    label = lambda kind, c: F.concat(F.lit(kind), F.coalesce(F.col(c), F.lit("")))
-    parts = [
-        row(name, "full_name"), row(emails(members), "email"), row(phones(members), "phone"), row(loc, "location"), row(head, "headline"),
-        li.where("linkedin is not null").select("root", F.lit("links.linkedin").alias("field"), F.col("linkedin_source").alias("source")),
-        li.where("github is not null").select("root", F.lit("links.github").alias("field"), F.col("github_source").alias("source")),
-        skills(members).select("root", label("skill:", "name").alias("field"), F.explode("sources").alias("source")),
-        row(experience(members, mode), label("experience:", "company")), row(education(members, mode), label("education:", "institution")),
-    ]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.distinct()
+    firsts = _firsts(members, mode, "digits")
+    return firsts.select("root", F.inline(_traced(firsts)))
 
 
 def fuse(ext: DataFrame, groups: DataFrame, as_of: str, mode: str = "reference", phone_profile: str = "digits") -> DataFrame:
     """Profiles (see schema.PROFILE) with root; candidate_id is a hash of the group's members' least record."""
     from recordloom.operators.schema import PROFILE
 
-    m = checkpoint(ordered(ext, groups))  # every field reads the members again
-    base = m.groupBy("root").agg(F.countDistinct(F.lower("source_name")).alias("n_sources"))
-    name = resolve(m, "full_name", True).select("root", F.col("value").alias("full_name"), F.col("adjustment").alias("name_adj"))
-    head = resolve(m, "headline").select("root", F.col("value").alias("headline"), F.col("adjustment").alias("head_adj"))
-    jobs, studies = experience(m, mode), education(m, mode)
-    skill = skills(m).groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "name", "confidence", "sources"))), lambda s: F.struct(s["name"].alias("name"), s["confidence"].alias("confidence"), s["sources"].alias("sources"))).alias("skills"))
-    job = F.struct("company", "title", "start", "end", "summary")
-    newest = lambda a, b: F.when(F.coalesce(a["e"]["start"], F.lit("0000-00")) > F.coalesce(b["e"]["start"], F.lit("0000-00")), -1).when(F.coalesce(a["e"]["start"], F.lit("0000-00")) < F.coalesce(b["e"]["start"], F.lit("0000-00")), 1).when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
-    work = jobs.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.struct("ord", "pos").alias("o"), job.alias("e"))), newest), lambda x: x["e"]).alias("experience"))
-    study = studies.groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos", "institution", "degree", "field_of_study", "end_year"))), lambda x: F.struct(x["institution"].alias("institution"), x["degree"].alias("degree"), x["field_of_study"].alias("field"), x["end_year"].alias("end_year"))).alias("education"))
-    prov = provenance(m, mode).groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("field", "source"))), lambda p: F.struct(p["field"].alias("field"), p["source"].alias("source"), F.lit("merge").alias("method"))).alias("provenance"))
-    given = resolve(m.withColumn("tye", F.col("total_years_experience").cast("string")), "tye").select("root", F.col("value").cast("double").alias("given_years"))
-    out = base
-    for part in (name, head, _in_order(emails(m), "emails"), _in_order(phones(m, phone_profile), "phones"), locations(m).drop("source"), links(m), skill, work, study, years(jobs, as_of), given, prov):
-        out = out.join(part, "root", "left")
-    for c, t in (("emails", "array<string>"), ("phones", "array<string>")):
-        out = out.withColumn(c, F.coalesce(c, F.array().cast(t)))
-    for c in ("skills", "experience", "education", "provenance"):
-        out = out.withColumn(c, F.coalesce(c, F.array().cast(out.schema[c].dataType)))
+    firsts = _firsts(ordered(ext, groups), mode, phone_profile)
+    text, zero, oldest = N.blank_to_null, F.lit(0.0), F.lit("0000-00")
+    top = lambda kind: F.get(F.array_sort(kind), F.lit(0))
+    agree = {"_full_name": lambda head, x: F.levenshtein(head, x) < 3, "_headline": lambda head, x: head == x}  # keys are in lower case
+
+    def adjustment(kind: str) -> Column:
+        head = F.array_min(F.transform(kind, lambda x: F.struct(x["g"].alias("g"), x["key"].alias("key"))))["key"]
+        same = F.get(F.transform(F.array(head), lambda h: F.forall(kind, lambda x: agree[kind](h, x["key"]))), F.lit(0))
+        return F.when(F.aggregate(kind, F.lit(0).cast("long"), lambda n, x: n + x["n"]) <= 1, zero).when(same, F.lit(scoring.AGREE)).otherwise(F.lit(scoring.DISAGREE))
+
+    def place(x: Column) -> Column:
+        country = F.coalesce(N.country_iso2(x["v"][2]), x["v"][2])
+        return F.when(x.isNotNull(), F.struct(x["v"][0].alias("city"), x["v"][1].alias("region"), country.alias("country")))
+
+    def newest(a: Column, b: Column) -> Column:
+        x, y = F.coalesce(a["e"]["start"], oldest), F.coalesce(b["e"]["start"], oldest)
+        return F.when(x > y, -1).when(x < y, 1).when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+
+    job = lambda v: F.struct(text(v[0]).alias("company"), text(v[1]).alias("title"), N.date_ym(text(v[2])).alias("start"), N.date_ym(text(v[3])).alias("end"), text(v[4]).alias("summary"))
+    year = lambda v: F.lit(None).cast("int") if mode == "reference" else N.year_of(text(v[3]))
+    study = lambda v: F.struct(text(v[0]).alias("institution"), text(v[1]).alias("degree"), text(v[2]).alias("field"), year(v).alias("end_year"))
+    skill = lambda x: F.struct(x["v"][0].alias("name"), scoring.skill_confidence(x["sources"]).alias("confidence"), x["sources"].alias("sources"))
+    by_key = F.array_sort(F.transform("_skills", lambda x: F.struct(x["key"].alias("key"), skill(x).alias("s"))))
+    out = firsts.select(
+        "root", F.size(F.array_distinct(F.transform(F.get("_self", F.lit(0))["sources"], F.lower))).alias("n_sources"), top("_full_name")["v"][0].alias("full_name"), adjustment("_full_name").alias("name_adj"),
+        top("_headline")["v"][0].alias("headline"), adjustment("_headline").alias("head_adj"), top("_given")["v"][0].cast("double").alias("given_years"), F.get(F.transform(F.array(top("_location")), place), F.lit(0)).alias("location"),
+        F.struct(top("_linkedin")["v"][0].alias("linkedin"), top("_github")["v"][0].alias("github"), F.lit(None).cast("string").alias("portfolio"), F.array().cast("array<string>").alias("other")).alias("links"),
+        F.transform(F.array_sort("_emails"), lambda x: text(x["v"][0])).alias("emails"), F.transform(F.array_sort("_phones"), lambda x: x["key"]).alias("phones"), F.transform(by_key, lambda x: x["s"]).alias("skills"),
+        F.transform(F.array_sort(F.transform("_experience", lambda x: F.struct(x["o"].alias("o"), job(x["v"]).alias("e"))), newest), lambda x: x["e"]).alias("experience"),
+        F.transform(F.array_sort("_education"), lambda x: study(x["v"])).alias("education"), F.transform(_traced(firsts), lambda p: F.struct(p["field"], p["source"], F.lit("merge").alias("method"))).alias("provenance"),
+    )
+    months = F.filter(F.transform("experience", lambda e: N.months_between_ym(e["start"], F.coalesce(e["end"], F.lit(as_of)))), lambda n: n > 0)  # null without a start
+    total = F.get(F.transform(F.array(months), lambda ms: F.when(F.size(ms) > 0, F.bround(F.aggregate(ms, F.lit(0).cast("long"), lambda n, x: n + x) / F.lit(12.0), 1))), F.lit(0))
     has = lambda c: F.size(c) > 0
     there = {"full_name": F.col("full_name").isNotNull(), **{c: has(c) for c in ("emails", "phones", "experience", "skills", "education")}}
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    out = out.withColumn("overall_confidence", scoring.overall_confidence(F.col("n_sources"), there, [zero("name_adj"), zero("head_adj")]))
-    out = out.withColumn("candidate_id", F.sha2(F.col("root").cast("string"), 256)).withColumn("total_years_experience", F.coalesce("total_years_experience", "given_years"))
-    out = out.withColumn("links", F.struct("linkedin", "github", F.lit(None).cast("string").alias("portfolio"), F.array().cast("array<string>").alias("other")))
+    out = out.withColumn("overall_confidence", scoring.overall_confidence(F.col("n_sources"), there, [F.col("name_adj"), F.col("head_adj")]))
+    out = out.withColumn("candidate_id", F.sha2(F.col("root").cast("string"), 256)).withColumn("total_years_experience", F.coalesce(total, "given_years"))
     columns = [c.split()[0] for c in PROFILE.replace("\n", " ").split(", ") if "<" not in c.split()[0] and ":" not in c.split()[0]]
     return out.select("root", *[c for c in columns if c in out.columns])

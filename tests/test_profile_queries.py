@@ -68,3 +68,19 @@ def test_accented_names_and_all_provenance_stay(spark, people, grouped, monkeypa
     assert (3, "full_name", "ats_json") in found
     # base, two sources, name and mail there, names differ, two sources with a name
     assert {r["root"]: r["overall_confidence"] for r in Q.overall_confidence(spark, people).collect()}[3] == pytest.approx(0.5 + 0.2 + 0.04 - 0.10 + 0.05)
+
+
+def test_members_are_sent_to_their_group_once(spark, people, grouped):
+    ext = Q.extractions(spark, people)
+    m, p = Q.fusion.ordered(ext, grouped.select("ext_id", "root")), Q.fusion.fuse(ext, grouped.select("ext_id", "root"), Q.AS_OF)
+    p.collect()
+    plan = p._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # one exchange for each side of the join with the groups and one to the groups; joins of the fields would add theirs
+    assert plan.count("Exchange ") <= 3 and plan.count("Join") == 1
+    got = {r["root"]: r for r in p.collect()}
+    for f, one in (("emails", Q.fusion._in_order(Q.fusion.emails(m), "emails")), ("phones", Q.fusion._in_order(Q.fusion.phones(m), "phones")), ("location", Q.fusion.locations(m))):
+        assert {root: r[f] for root, r in got.items() if r[f]} == {r["root"]: r[f] for r in one.collect()}
+    jobs = {(r["root"], r["company"], r["title"], r["start"], r["end"]) for r in Q.fusion.experience(m).collect()}
+    assert {(root, *list(e)[:4]) for root, r in got.items() for e in r["experience"]} == jobs
+    assert {r["root"]: r["total_years_experience"] for r in Q.fusion.years(Q.fusion.experience(m), Q.AS_OF).collect()} == {root: r["total_years_experience"] for root, r in got.items() if r["total_years_experience"]}
+    assert {(r["root"], r["name"], r["confidence"]) for r in Q.fusion.skills(m).collect()} == {(root, s["name"], s["confidence"]) for root, r in got.items() for s in r["skills"]}
