@@ -35,7 +35,8 @@ def resolve(members: DataFrame, field: str, name_like: bool = False) -> DataFram
 
 def _listed(members: DataFrame, values: Column, key) -> DataFrame:
     """(root, key, value, source, ord, pos): the first of each distinct value of a list field."""
-    rows = members.select("root", "source_name", "ord", F.posexplode(values).alias("pos", "raw")).withColumn("key", key(F.col("raw"))).where("key is not null")
+    keyed = F.transform(values, lambda x: F.struct(x.alias("raw"), key(x).alias("key")))  # a filter on a column would work it out again
+    rows = members.select("root", "source_name", "ord", F.posexplode(keyed).alias("pos", "x")).select("root", "source_name", "ord", "pos", "x.raw", "x.key").where("key is not null")
     first = F.min(F.struct("ord", "pos", "raw", "source_name"))
     return rows.groupBy("root", "key").agg(first.alias("f")).select("root", "key", F.col("f.raw").alias("value"), F.col("f.source_name").alias("source"), F.col("f.ord").alias("ord"), F.col("f.pos").alias("pos"))
 
@@ -72,8 +73,8 @@ def links(members: DataFrame) -> DataFrame:
 
 def skills(members: DataFrame) -> DataFrame:
     """(root, key, name, sources, confidence), one row per skill of a group."""
-    rows = members.select("root", "source_name", "ord", F.posexplode("skills").alias("pos", "raw"))
-    rows = rows.withColumn("name", N.skill_name(N.blank_to_null(F.col("raw")))).where("name is not null")
+    names = F.transform("skills", lambda x: N.skill_name(N.blank_to_null(x)))  # a filter on a column would work it out again
+    rows = members.select("root", "source_name", "ord", F.posexplode(names).alias("pos", "name")).where("name is not null")
     per = rows.groupBy("root", F.lower("name").alias("key")).agg(F.min_by("name", F.struct("ord", "pos")).alias("name"), F.array_sort(F.collect_set("source_name")).alias("sources"))
     return per.withColumn("confidence", scoring.skill_confidence(F.col("sources")))
 
