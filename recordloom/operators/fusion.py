@@ -225,3 +225,24 @@ def fuse(ext: DataFrame, groups: DataFrame, as_of: str, mode: str = "reference",
     out = out.withColumn("candidate_id", F.sha2(F.col("root").cast("string"), 256)).withColumn("total_years_experience", F.coalesce(total, "given_years"))
     columns = [c.split()[0] for c in PROFILE.replace("\n", " ").split(", ") if "<" not in c.split()[0] and ":" not in c.split()[0]]
     return out.select("root", *[c for c in columns if c in out.columns])
+
+
+def confidence(ext: DataFrame, groups: DataFrame, mode: str = "reference", phone_profile: str = "digits") -> DataFrame:
+    """(root, overall_confidence), as ``fuse`` has it: only names and which fields are there are sent to the groups."""
+    some = lambda c, key: F.coalesce(F.exists(c, lambda x: key(x).isNotNull()), F.lit(False))
+    low = lambda c: F.when(N.blank_to_null(F.col(c)).isNotNull(), F.lower(c)).alias(c)
+    has = {
+        "emails": some("emails", lambda x: N.mail_key(x)), "phones": some("phones", lambda x: N.phone_e164(x, phone_profile)), "experience": some("experience", lambda e: _job_key(e, mode)),
+        "skills": some("skills", lambda x: N.skill_name(N.blank_to_null(x))), "education": some("education", lambda e: _study_key(e, mode)),
+    }
+    rows = ordered(ext.select("ext_id", "source_name", low("full_name"), low("headline"), *[c.alias(n) for n, c in has.items()]), groups)
+    head = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("ord", F.col(c).alias("v"))))["v"].alias(f"{c}_head")
+    per = rows.groupBy("root").agg(
+        F.size(F.collect_set(F.lower("source_name"))).alias("n_sources"), head("full_name"), F.count("full_name").alias("n_names"), F.collect_set("full_name").alias("names"),
+        F.count("headline").alias("n_headlines"), (F.min("headline") == F.max("headline")).alias("one_headline"), *[F.max(n).alias(n) for n in has],
+    )
+    same_name = F.forall("names", lambda x: F.levenshtein("full_name_head", x) < 3)
+    adjustment = lambda n, same: F.when(F.col(n) <= 1, F.lit(0.0)).when(same, F.lit(scoring.AGREE)).otherwise(F.lit(scoring.DISAGREE))
+    there = {"full_name": F.col("n_names") > 0, **{n: F.col(n) for n in ("emails", "phones", "experience", "skills", "education")}}
+    total = scoring.overall_confidence(F.col("n_sources"), there, [adjustment("n_names", same_name), adjustment("n_headlines", F.col("one_headline"))])
+    return per.select("root", total.alias("overall_confidence"))

@@ -185,8 +185,7 @@ def fused_profile(spark, sf_dir):
 
 def overall_confidence(spark, sf_dir):
     ext = extractions(spark, sf_dir)
-    p = fusion.fuse(ext, linkage.link(ext, ignore_stand_ins=True), AS_OF)
-    return p.select("root", "overall_confidence")
+    return fusion.confidence(ext, linkage.link(ext, ignore_stand_ins=True))
 
 
 # ------------------------------------------------------------------ projection, validation, report

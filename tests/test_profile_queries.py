@@ -89,3 +89,18 @@ def test_members_are_sent_to_their_group_once(spark, people, grouped):
 def test_skills_are_named_once(spark, people, grouped):
     plan = Q.fusion.skills(grouped)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?<!") == 1  # the mark of title_case; a filter on what it gives would work it out again
+
+
+def test_confidence_sends_names_and_not_lists(spark, people, grouped, monkeypatch):
+    monkeypatch.setattr(Q.linkage, "link", lambda *_, **__: grouped.select("ext_id", "root"))
+    found = Q.overall_confidence(spark, people)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "RepartitionByExpression" not in plan and plan.count("Join") == 1
+    ext = Q.extractions(spark, people)
+    odd = ext.selectExpr("* except (full_name, headline, emails, skills, phones, experience, education)", "case ext_id % 4 when 0 then '  ' when 1 then full_name when 2 then upper(full_name) end as full_name",
+        "case when ext_id < 3 then 'Dev' when ext_id < 13 then 'dev' when ext_id < 20 then ' ' end as headline", "array(null, '') as emails", "if(ext_id = 2, array(' '), skills) as skills", "if(ext_id = 3, array('x'), phones) as phones",
+        "if(ext_id = 2, null, experience) as experience", "if(ext_id = 3, array(null), education) as education")
+    for e in (ext, odd.select(*ext.columns)):
+        for how in ({}, {"mode": "full", "phone_profile": "library"}):
+            whole = Q.fusion.fuse(e, grouped.select("ext_id", "root"), Q.AS_OF, **how).select("root", "overall_confidence")
+            assert {tuple(r) for r in Q.fusion.confidence(e, grouped.select("ext_id", "root"), **how).collect()} == {tuple(r) for r in whole.collect()}
