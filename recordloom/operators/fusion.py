@@ -16,9 +16,16 @@ from recordloom.functions import normalize as N
 from recordloom.operators import scoring
 
 
+JOB, STUDY = ("company", "title", "start_date", "end_date", "summary"), ("institution", "degree", "field_of_study", "year")
+
+
 def ordered(ext: DataFrame, groups: DataFrame) -> DataFrame:
     """Extractions with their root and their place in the order of the group."""
-    return ext.join(groups, "ext_id").withColumn("pri", dims.priority(F.col("source_name"))).withColumn("ord", F.struct((-F.col("pri")).alias("p"), F.lower("source_name").alias("s"), F.col("ext_id").alias("e")))
+    return ext.join(groups, "ext_id").withColumn("pri", dims.priority(F.col("source_name"))).withColumn("ord", _place())
+
+
+def _place() -> Column:
+    return F.struct((-dims.priority(F.col("source_name"))).alias("p"), F.lower("source_name").alias("s"), F.col("ext_id").alias("e"))
 
 
 def resolve(members: DataFrame, field: str, name_like: bool = False) -> DataFrame:
@@ -127,7 +134,6 @@ def _firsts(members: DataFrame, mode: str, phone_profile: str) -> DataFrame:
     ``o`` is its place; ``g`` the first place of the value without regard to how its source is written, ``n`` the rows
     that have it.  Members are sent to their group once, and all that follows happens where they arrive.
     """
-    JOB, STUDY = ("company", "title", "start_date", "end_date", "summary"), ("institution", "degree", "field_of_study", "year")
     SINGLE, WITH_SOURCES = ("full_name", "headline", "given"), ("skills", "self")
     text = lambda c: N.blank_to_null(F.col(c))
     entry = lambda kind, key, pos, *v: F.struct(F.lit(kind).alias("kind"), key.alias("key"), pos.alias("pos"), F.array(*v).alias("v"))
@@ -152,15 +158,16 @@ def _firsts(members: DataFrame, mode: str, phone_profile: str) -> DataFrame:
         every.append(each("phones", lambda x, i: entry("digits", N.phone_e164(x), i, x)))
         kinds.append("digits")
     used = ["full_name", "headline", "total_years_experience", "location_city", "location_region", "location_country", "linkedin", "github", "emails", "phones", "skills", "experience", "education"]
-    sent = members.select("root", "source_name", "ord", *used).repartition("root")
-    rows = sent.select("root", "source_name", "ord", F.inline(F.concat(*every)))
+    sent = members.select("root", "source_name", "ext_id", *used).repartition("root")
+    rows = sent.select("root", "source_name", _place().alias("ord"), F.inline(F.concat(*every)))
     place = F.struct(F.col("ord.p").alias("p"), F.when(F.col("kind").isin(*SINGLE), F.col("source_name")).otherwise(F.lit("")).alias("a"), F.col("ord.s").alias("s"), F.col("ord.e").alias("e"), F.col("pos").alias("pos"))
     per = rows.groupBy("root", "kind", "key").agg(
         F.min(F.struct(place.alias("o"), "v", F.col("source_name").alias("source"))).alias("f"), F.min(F.when(F.col("kind").isin(*SINGLE), F.col("ord"))).alias("g"), F.count("*").alias("n"),
         F.array_sort(F.collect_set(F.when(F.col("kind").isin(*WITH_SOURCES), F.col("source_name")))).alias("sources"),
     )
-    value = F.struct(F.col("f.o").alias("o"), "key", F.col("f.v").alias("v"), F.col("f.source").alias("source"), "g", "n", "sources")
-    return per.groupBy("root").agg(*[F.collect_list(F.when(F.col("kind") == k, value)).alias(f"_{k}") for k in kinds])
+    value = F.struct(F.col("f.o").alias("o"), "key", F.col("f.v").alias("v"), F.col("f.source").alias("source"), "g", "n", "sources", "kind")
+    whole = per.groupBy("root").agg(F.collect_list(value).alias("all"))  # a list for each kind would look at every row as often
+    return whole.select("root", *[F.filter("all", lambda x: x["kind"] == k).alias(f"_{k}") for k in kinds])  # noqa: B023
 
 
 def _traced(firsts: DataFrame) -> Column:
@@ -176,6 +183,16 @@ def _traced(firsts: DataFrame) -> Column:
     )))
 
 
+def traceable(ext: DataFrame, mode: str = "reference") -> DataFrame:
+    """Extractions for ``provenance`` alone: marks for fields of which it asks only whether they are there, no texts of jobs and studies."""
+    none, mark = F.lit(None).cast("string"), lambda *cs: F.when(F.coalesce(*[N.blank_to_null(F.col(c)) for c in cs]).isNotNull(), F.lit("x")).alias(cs[0])
+    cut = lambda c, fields, used: F.transform(c, lambda e: F.struct(*[(e[f] if f in used else none).alias(f) for f in fields])).alias(c)
+    return ext.select(
+        "ext_id", "source_name", "emails", "phones", "skills", *map(mark, ("full_name", "headline", "linkedin", "github")), mark("location_city", "location_region", "location_country"), none.alias("location_region"), none.alias("location_country"),
+        cut("experience", JOB, ("company", "start_date") if mode == "reference" else ("company", "title", "start_date")), cut("education", STUDY, ("institution",) if mode == "reference" else ("institution", "degree")), F.lit(None).cast("double").alias("total_years_experience"),
+    )
+
+
 def provenance(members: DataFrame, mode: str = "reference") -> DataFrame:
     """(root, field, source): which source each field of a profile came from, once each."""
     firsts = _firsts(members, mode, "digits")

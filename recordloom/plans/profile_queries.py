@@ -161,7 +161,8 @@ def education_first(spark, sf_dir):
 
 
 def provenance_distinct(spark, sf_dir):
-    return fusion.provenance(members(spark, sf_dir))
+    ext = extractions(spark, sf_dir)
+    return fusion.provenance(fusion.ordered(fusion.traceable(ext), linkage.link(ext, ignore_stand_ins=True)))
 
 
 def fuse_profiles(spark, sf_dir):

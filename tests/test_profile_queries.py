@@ -104,3 +104,19 @@ def test_confidence_sends_names_and_not_lists(spark, people, grouped, monkeypatc
         for how in ({}, {"mode": "full", "phone_profile": "library"}):
             whole = Q.fusion.fuse(e, grouped.select("ext_id", "root"), Q.AS_OF, **how).select("root", "overall_confidence")
             assert {tuple(r) for r in Q.fusion.confidence(e, grouped.select("ext_id", "root"), **how).collect()} == {tuple(r) for r in whole.collect()}
+
+
+def test_provenance_sends_no_texts_of_jobs(spark, people, grouped, monkeypatch):
+    monkeypatch.setattr(Q.linkage, "link", lambda *_, **__: grouped.select("ext_id", "root"))
+    found = Q.provenance_distinct(spark, people)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1  # one list for a group, and not one for each kind
+    ext, groups = Q.extractions(spark, people), grouped.select("ext_id", "root")
+    odd = ext.selectExpr("* except (full_name, location_city, location_region, experience, education)", "if(ext_id = 13, ' ', full_name) as full_name", "if(ext_id = 1, ' ', location_city) as location_city", "if(ext_id = 3, 'Ost', null) as location_region",
+        "if(ext_id = 3, array(null), if(ext_id = 22, null, experience)) as experience", "if(ext_id = 13, array(null), education) as education").select(*ext.columns)
+    for e in (ext, odd):
+        for mode in ("reference", "full"):
+            slim = Q.fusion.provenance(Q.fusion.ordered(Q.fusion.traceable(e, mode), groups), mode)
+            assert sorted(map(tuple, slim.collect())) == sorted(map(tuple, Q.fusion.provenance(Q.fusion.ordered(e, groups), mode).collect()))
+    kept = Q.fusion.traceable(ext).where("ext_id = 11").first()
+    assert [(j["company"], j["start_date"], j["summary"], j["title"]) for j in kept["experience"]] == [("Foo", "2020-01", None, None)] and kept["full_name"] == "x"
